@@ -1,0 +1,6 @@
+"""Every query of the engine with its SQL, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
