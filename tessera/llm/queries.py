@@ -5,6 +5,15 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_embedding_dedup": "embedding_dedup",
+    "op2_suffix_dedup": "suffix_dedup",
+    "op3_token_frames": "token_frames",
+    "op4_quote_threads": "quote_threads",
+    "op5_toxicity": "toxicity",
+    "op6_matroska": "matroska",
+    "op7_pareto_mix": "pareto_mix",
+    "op8_lm_score": "lm_score",
+    "op9_bpe": "bpe",
     "op10_simhash": "simhash",
 }
 
