@@ -33,7 +33,7 @@ SKIPPABLE, MAGIC = 0x184D2A5E, 0x8F92EAB1
 _TAIL = struct.Struct("<QB3xI")
 _EACH = 8 + 1 + 4 + 8 + 4
 #: Chunks of text whose ids one generation of a worker's memory holds.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: After a letter or digit, such a character at a chunk's end is a match of its own.
 _MARKS = {",", "."}
 
