@@ -152,6 +152,19 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, c
     return inside.select(*keep).unionByName(outside.select(*keep)).unionByName(sure.select(*keep))
 
 
+def repeat_rows(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows without words, which no target counts, once."""
+    mixed = mix(docs, seed, weights, cap, id_col, text_col, source_col)
+    own = [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_digest")]
+    order = lambda x, *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(x))
+    taken = mixed.withColumn("n", order(F.desc("copies"), "doc_id", "source", "digest"))
+    taken = taken.select("doc_id", F.col("source").alias("its"), "digest", "n", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies")).where("copies > 0")
+    taken = taken.toDF("i", "s", "d", "n", "copies")
+    rows = docs.select("*", *own).withColumn("_n", order(F.lit(0), "_id", "_source", "_digest"))
+    same = F.col("_id").eqNullSafe(F.col("i")) & F.col("_source").eqNullSafe(F.col("s")) & (F.col("_digest") == F.col("d")) & (F.col("_n") == F.col("n"))
+    return rows.join(taken, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
 def op7_pareto_mix(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for all of ``documents``."""
     mixed = mix(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staged, utf8
@@ -78,7 +78,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = fingerprints(batch.column("body").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fp, pa.int64())], names=["doc_id", "digest", "fp"])
 
 
 def _prefix(depth: int):
@@ -176,8 +176,11 @@ def trie_links(classes: DataFrame, staged: Staged) -> DataFrame:
         staged.done(here)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed long), component_id: one row per row of ``docs``.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """doc_id, digest, fp (signed long), component_id, group: one row per row of ``docs``.
+
+    ``digest`` is any long that the caller wants kept for its rows (else 0);
+    ``group`` is a fingerprint of the component, for components without an id.
 
     Rows whose fingerprints differ in at most two bits are linked; component_id
     is the smallest id reachable.  A null or empty text, or one without words,
@@ -187,16 +190,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     staged = Staged(spark, "simhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
-    rows = staged(rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "rows")
+    kept = F.lit(0).cast("long") if digest is None else digest
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), kept.alias("digest"), utf8(text_col).alias("body"))
+    rows = staged(rows.mapInArrow(_fingerprint_batches, "doc_id long, digest long, fp long"), "rows")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     edges = trie_links(classes.select("fp"), staged)
     linked = components(edges, staged)
     named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = staged(named.join(lowest, "component").select("fp", "component_id"), "named")
+    named = staged(named.join(lowest, "component").select("fp", "component_id", F.col("component").alias("group")), "named")
     staged.done("classes", *[x for x in staged.paths if x.startswith(("edges", "links"))])
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "group")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each component: the smallest id, among equal ids the smallest digest of the text.
+
+    Of rows equal in both only one stays.  A component of null ids keeps one too.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    spark = docs.sparkSession
+    found = simhash_components(docs, id_col, text_col, digest)
+    # among rows of a component that share its smallest id, and so its null if it has no other
+    first = found.groupBy("component_id", "group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("x"))
+    chosen = Staged(spark, "simhash")(first.select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_own")).distinct(), "chosen")
+    rows = docs.withColumn("_digest", digest).withColumn("_key", F.col(id_col).cast("long"))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_own"))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -312,6 +312,29 @@ def cut_out(body: bytes, removed: bytes | None) -> tuple[bytes, np.ndarray]:
     return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])), pairs
 
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with repeated bytes cut from their texts, and ``chars_col`` counted anew.
+
+    A character of which a cut leaves only some bytes goes as a whole.  Null texts stay null.
+    """
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            kept = [None if x is None else cut_out(x.encode(), r)[0].decode("utf-8", "ignore") if r else x for x, r in zip(texts, batch.column("_removed").to_pylist())]
+            columns = []
+            for name, column in zip(batch.schema.names[:-1], batch.columns[:-1]):
+                if name == text_col:
+                    column = pa.array(kept, column.type)
+                elif name == chars_col:
+                    column = pa.array([n if r is None or k is None else len(k) for n, k, r in zip(column.to_pylist(), kept, batch.column("_removed").to_pylist())], column.type)
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return with_removed(docs, length, id_col, text_col).select(*docs.columns, "_removed").mapInArrow(run, schema)
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
