@@ -33,7 +33,7 @@ SKIPPABLE, MAGIC = 0x184D2A5E, 0x8F92EAB1
 _TAIL = struct.Struct("<QB3xI")
 _EACH = 8 + 1 + 4 + 8 + 4
 #: Chunks of text whose ids one generation of a worker's memory holds.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: After a letter or digit, such a character at a chunk's end is a match of its own.
 _MARKS = {",", "."}
 
@@ -128,6 +128,16 @@ class ChunkEncoder:
         return out
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder_for(path: str) -> ChunkEncoder:
+    """One encoder for each worker process and tokenizer; it is kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def _groups(texts: list[str], chars: int) -> Iterator[list[str]]:
     held, size = [], 0
     for x in texts:
@@ -213,7 +223,7 @@ def _writer(folder: str, tokenizer: str, end_id: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
 
         def docs():
