@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a: str, b: str) -> tuple[list[int], list[int]]:
@@ -58,14 +59,13 @@ def damerau(a: str, b: str) -> int:
     return d[n + 1][m + 1]
 
 
-def _pairs(f, kind: str):
-    @F.pandas_udf(kind)
+def _pairs(f, kind: T.DataType):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="Int64" if kind == "long" else object)
+        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype=object)
 
-    return run
+    return F.pandas_udf(run, kind)
 
 
-lcs_column = _pairs(lcs_string, "string")
-remainder_column = _pairs(remainder, "string")
-damerau_column = _pairs(damerau, "long")
+lcs_column = _pairs(lcs_string, T.StringType())
+remainder_column = _pairs(remainder, T.StringType())
+damerau_column = _pairs(damerau, T.LongType())

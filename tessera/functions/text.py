@@ -43,10 +43,21 @@ def latin_tokens(c: Column, keep_digits: bool = False) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def windows(c: Column, n: int) -> Column:
+    """All substrings of n characters, from left to right."""
+    none = F.array().cast("array<string>")
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(none)
+
+
+def runs(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, joined by spaces."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(none)
+
+
 def grams(c: Column, least: int, most: int) -> Column:
     """Character n-grams for n from least to most, by length and then place."""
-    parts = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i, n=n: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
-    return F.concat(*parts)
+    return F.concat(*[windows(c, n) for n in range(least, most + 1)])
 
 
 def edge_grams(c: Column, least: int, most: int) -> Column:

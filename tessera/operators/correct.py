@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.distance import damerau, lcs, remainder
 from tessera.functions.pinyin import readings
@@ -116,11 +117,13 @@ def gram_verdict(query: str, asked: str, output: str, entry: str, letters: tuple
     return "accept" if any(len(lcs(x, y)[0]) in (len(x), len(y)) for x in a for y in b) else "reject"
 
 
-@F.pandas_udf("string")
-def verdict_column(query: pd.Series, asked: pd.Series, output: pd.Series, entry: pd.Series) -> pd.Series:
+def _verdicts(query: pd.Series, asked: pd.Series, output: pd.Series, entry: pd.Series) -> pd.Series:
     return pd.Series([gram_verdict(q or "", a or "", o or "", e or "") for q, a, o, e in zip(query, asked, output, entry)], dtype=object)
 
 
+verdict_column = F.pandas_udf(_verdicts, T.StringType())
+
+
 def homophone_verdict(query: str, output: str) -> str:
     """right if the two differ by digits alone, keep if they share a character or the query is ASCII, else drop."""
     if query.isascii():
@@ -131,11 +134,13 @@ def homophone_verdict(query: str, output: str) -> str:
     return "right" if rest and all(c in DIGITS for c in rest) else "keep"
 
 
-@F.pandas_udf("string")
-def homophone_column(query: pd.Series, output: pd.Series) -> pd.Series:
+def _homophone_verdicts(query: pd.Series, output: pd.Series) -> pd.Series:
     return pd.Series([homophone_verdict(q, o) for q, o in zip(query, output)], dtype=object)
 
 
+homophone_column = F.pandas_udf(_homophone_verdicts, T.StringType())
+
+
 def cascade(queries: DataFrame, *tiers: DataFrame) -> DataFrame:
     """query, tier, candidates (by weight, then word): those of the lowest tier that found any; 0 for an empty query, null for none."""
     found = tiers[0].select("query", "output", "weight", "tier")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import runs
+
 # Fixed values of the service: weights of kinds of terms, terms of a short course, gaps in seconds, page sizes.
 NAME_WEIGHT, STAFF_WEIGHT, STRUCTURE_WEIGHT, WORD_WEIGHT = 10, 3, 2, 1
 SHORT, SHORT_FACTOR, GAP, SAME_GAP, TOP, HAS_RESULT = 20, 100.0, 90, 4, 10, 300.0
@@ -13,8 +15,7 @@ SHORT, SHORT_FACTOR, GAP, SAME_GAP, TOP, HAS_RESULT = 20, 100.0, 90, 4, 10, 300.
 
 def bigrams(tokens: Column) -> Column:
     """Unigrams and neighbouring pairs."""
-    pairs = F.when(F.size(tokens) >= 2, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(2)), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+    return F.concat(tokens, runs(tokens, 2))
 
 
 def term_stats(terms: DataFrame) -> DataFrame:

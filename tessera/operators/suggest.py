@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.pinyin import first_letters, fuzzy_column, initials
-from tessera.functions.text import cut_words, half_width, squeeze
+from tessera.functions.text import cut_words, half_width, runs, squeeze, windows
 
 # Fixed values of the service: dictionaries by number, lengths, weights.
 DICTIONARIES = {1: "platform", 2: "forum_user", 3: "course_name"}
@@ -63,7 +63,7 @@ def phrase_matches(rows: DataFrame, phrases: DataFrame, text: str = "value", lon
     """
     sizes = sorted(r.n for r in phrases.select(F.length("phrase").alias("n")).where(f"n between 1 and {longest}").distinct().collect())
     body = F.lower(F.col(text))
-    cut = [F.when(F.length(body) >= n, F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), lambda i, n=n: F.substr(body, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    cut = [windows(body, n) for n in sizes]
     subs = F.array_distinct(F.concat(*cut)) if cut else F.array().cast("array<string>")
     return rows.withColumn("phrase", F.explode(subs)).join(phrases.select("phrase").distinct(), "phrase", "left_semi")
 
@@ -71,8 +71,8 @@ def phrase_matches(rows: DataFrame, phrases: DataFrame, text: str = "value", lon
 def word_phrases(rows: DataFrame, phrases: DataFrame, tokens: Column, longest: int = 8) -> DataFrame:
     """The same by whole words: runs of up to ``longest`` tokens that are a phrase."""
     spelled = rows.withColumn("_t", tokens)
-    runs = [F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_t", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    return spelled.withColumn("phrase", F.explode(F.array_distinct(F.concat(*runs)))).drop("_t").join(phrases.select("phrase").distinct(), "phrase", "left_semi")
+    spans = F.concat(*[runs(F.col("_t"), n) for n in range(1, longest + 1)])
+    return spelled.withColumn("phrase", F.explode(F.array_distinct(spans))).drop("_t").join(phrases.select("phrase").distinct(), "phrase", "left_semi")
 
 
 def clean_nickname(c: Column) -> Column:
