@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of a shard; a sort key packs two ranks and a position of so many bits.
+#: A sort key packs two ranks and a position of so many bits; bytes that a shard takes (one anchor may bring it up to twice that).
 BITS = 21
-MOST = (1 << BITS) - 1024
+MOST = 1 << (BITS - 1)
 
 
 def _sizes(length: int, first: int) -> list[int]:
@@ -85,14 +85,16 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -
     run = np.diff(np.concatenate([begin, [len(x)]]))
     span = run + most
     offset = np.concatenate([[0], np.cumsum(span)[:-1]])
-    step = np.arange(int(span.sum())) - np.repeat(offset, span)
+    # places fit in 32 bits, which halves what the steps of all runs take
+    step = np.arange(int(span.sum()), dtype=np.int32) - np.repeat(offset.astype(np.int32), span)
     n = len(text)
-    p, q = np.repeat(x[begin], span) + step, np.repeat(y[begin], span) + step
+    p, q = np.repeat(x[begin].astype(np.int32), span) + step, np.repeat(y[begin].astype(np.int32), span) + step
     inside = (p < n) & (q < n)
     same = inside & (text[np.minimum(p, n - 1)] == text[np.minimum(q, n - 1)])
     same[offset + span - 1] = False  # a run's last byte ends every prefix; it is most bytes beyond its last pair
-    at = np.arange(len(same))
-    stop = np.minimum.accumulate(np.where(same, len(same), at)[::-1])[::-1]
+    del p, q, step, inside
+    at = np.arange(len(same), dtype=np.int32)
+    stop = np.minimum.accumulate(np.where(same, np.int32(len(same)), at)[::-1])[::-1]
     here = np.repeat(offset, run) + (np.arange(len(x)) - np.repeat(begin, run))
     at_place = np.zeros(n, dtype=np.int64)
     at_place[x] = np.minimum(stop[here] - here, most)

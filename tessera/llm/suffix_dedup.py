@@ -36,7 +36,7 @@ from .suffix_array import MOST, repeated
 
 LENGTH, GRAM = 400, 32
 #: Starts of a long text that are cut together; and context bytes of an anchor that one shard takes.
-SEGMENT, SPREAD = 400_000, 1 << 20
+SEGMENT, SPREAD = 400_000, 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
