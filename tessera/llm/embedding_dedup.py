@@ -121,7 +121,7 @@ _BLOCK = pa.schema(
 BLOCK_SPEC = "part int, seq int, label long, dim int, vectors binary, keys array<binary>, lows array<long>, copies array<long>, " + ", ".join(f"lo{k} double, hi{k} double" for k in range(AXES))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
@@ -138,7 +138,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(*(batch.column(c).to_pylist() for c in ("label", "key", "low", "copies")), _arrays(batch.column("embedding")), points)
         for row in rows:
             group = row[0], len(row[4])
-            if held and (group != now or len(held) == BLOCK):
+            if held and (group != now or len(held) == block):
                 yield out()
                 held, seq = [], seq + 1
             now = group
@@ -153,7 +153,7 @@ def _near(epsilon2: float):
     return (F.col("a.first") <= F.col("b.last")) & (F.col("b.first") <= F.col("a.last")) & (sum((g * g for g in gaps), F.lit(0.0)) <= epsilon2)
 
 
-def _comparer(cosine: float):
+def _comparer(cosine: float, block: int):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("links", pa.int64())])
 
     def unpack(vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,18 +170,18 @@ def _comparer(cosine: float):
                 i, j = np.nonzero(link)
                 if not len(i):
                     continue
-                src, dst = forest(a * BLOCK + i, b * BLOCK + j)
+                src, dst = forest(a * block + i, b * block + j)
                 out = [(src, dst, np.zeros(len(src), np.int64))]
                 sides = [(a, link @ np.array(cb, dtype=np.int64))] + ([(b, link.T @ np.array(ca, dtype=np.int64))] if a != b else [])
-                for block, count in sides:
+                for side, count in sides:
                     at = np.flatnonzero(count)
-                    out.append((block * BLOCK + at, np.full(len(at), -1), count[at]))
+                    out.append((side * block + at, np.full(len(at), -1), count[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
 
     return run
 
 
-def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``vectors``.
 
     Rows link if their labels are equal and not null, their vectors equally long
@@ -204,7 +204,7 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str
     spec = f"label long, key binary, low long, copies long, embedding {kind}, dim int, " + ", ".join([f"{c} int" for c in names] + [f"p{k} double" for k in range(AXES)])
     placed = staged(classes.mapInArrow(_placer(axes, math.sqrt(epsilon2)), spec), "placed")
     order = ["label", "dim", *names, "key"]
-    blocks = staged(placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks, BLOCK_SPEC), "blocks")
+    blocks = staged(placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _blocks(batches, block), BLOCK_SPEC), "blocks")
 
     # dense numbers along the sequence; one row for each partition reaches the driver
     offset, offsets = 0, []
@@ -231,12 +231,12 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str
     side = lambda end, v: blocks.select(F.col("node").alias(end), F.col("label").alias(f"label{v}"), F.col("dim").alias(f"dim{v}"), F.col("vectors").alias(f"v{v}"), F.col("copies").alias(f"c{v}"))
     met = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("labela = labelb and dima = dimb")
     met = met.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("dima").alias("dim"), "va", "vb", "ca", "cb")
-    found = staged(met.mapInArrow(_comparer(cosine), "src long, dst long, links long"), "found")
+    found = staged(met.mapInArrow(_comparer(cosine, block), "src long, dst long, links long"), "found")
 
     linked = components(found.where("dst >= 0").select("src", "dst"), staged)
     counts = found.where("dst < 0").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     members = blocks.select("node", F.col("label").alias("its"), F.posexplode(F.arrays_zip("keys", "lows", "copies")).alias("i", "x"))
-    members = members.select((F.col("node") * BLOCK + F.col("i")).alias("node"), "its", F.col("x.keys").alias("its_key"), F.col("x.lows").alias("low"), F.col("x.copies").alias("copies"))
+    members = members.select((F.col("node") * block + F.col("i")).alias("node"), "its", F.col("x.keys").alias("its_key"), F.col("x.lows").alias("low"), F.col("x.copies").alias("copies"))
     members = members.join(counts, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
     members = members.join(lowest, "component").select("its", "its_key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
