@@ -25,7 +25,7 @@ from .common import table
 from .token_frames import _MARKS, _groups, chunks
 
 #: Bytes up to which a node of the tree is merged directly; and entries that each memory holds before it starts anew.
-LEAF, REMEMBERED = 3, 300_000
+LEAF, REMEMBERED = 3, 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
