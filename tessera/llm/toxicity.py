@@ -31,7 +31,7 @@ WINDOW, STEP = 64, 48
 #: Length of the segments' grams, of the surrounding that tells two uses apart, and bytes of the two dictionaries' parts.
 GRAM, BESIDE, ORDINARY, SEGMENTS = 5, 8, 8192, 8192
 #: Bounds of the labelled sample that the model is fitted on: rows of each label, and bytes of each label's texts.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 6_000, 12_000, 48_000_000
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 6_000, 9_000, 24_000_000
 #: In calibration, what the share of clean texts rejected weighs against the share of toxic texts caught.
 CLEAN_WEIGHT = 3
 _PARAMETERS = {"window_log": 18, "hash_log": 18, "chain_log": 17, "search_log": 8, "min_match": GRAM, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
@@ -169,7 +169,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int
     ids = ids.withColumn("place", F.xxhash64(F.lit(5), "doc_id"))
     parts = [ids.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(n) for k, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     chosen = parts[0].unionAll(parts[1])
-    held = docs.select("doc_id", utf8().alias("body")).join(F.broadcast(chosen), "doc_id")  # at most 18,000 rows of three numbers
+    held = docs.select("doc_id", utf8().alias("body")).join(F.broadcast(chosen), "doc_id")  # at most 15,000 rows of three numbers
     upto = F.sum(F.length("body")).over(Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     held = held.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
     rows = held.select("body", "toxic", (fold() == 4).alias("later"), "place").collect()
