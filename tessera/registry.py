@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries; what uses the tables calls it first."""
-    from tessera.plans import document_queries, language_queries, search_queries  # noqa: F401
+    from tessera.plans import document_queries, entity_queries, language_queries, search_queries  # noqa: F401
