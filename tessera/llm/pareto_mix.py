@@ -168,4 +168,4 @@ def repeat_rows(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WE
 def op7_pareto_mix(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for all of ``documents``."""
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 _MODULES = {
     "op1_embedding_dedup": "embedding_dedup",
     "op2_suffix_dedup": "suffix_dedup",
@@ -27,4 +31,3 @@ def _query(name: str):
 
 
 QUERIES = {name: _query(name) for name in _MODULES}
-ORACLE_SQL: dict[str, str] = {}
