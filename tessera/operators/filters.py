@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the service: codes for how a filter parameter is read.
 PROCESS_FUTURE, PROCESS_RUNNING, PROCESS_ENDED = 1, 2, 3
-OWN_PLATFORM = "xuetangX"
+#: Owner of the platform's own courses; a deployment sets its own.
+OWN_PLATFORM = "platform"
 
 
 def _at(as_of: datetime | str) -> Column:
@@ -45,8 +46,8 @@ def three_way(c: str, value: int) -> Column | None:
     return None if not value else F.col(c) == (1 if value == 1 else 0)
 
 
-def has_assistant(owner: str, start: str, end: str, as_of) -> Column:
-    return (F.col(owner) == OWN_PLATFORM) & (F.col(start) <= _at(as_of)) & (F.col(end) >= _at(as_of))
+def has_assistant(owner: str, start: str, end: str, as_of, own: str = OWN_PLATFORM) -> Column:
+    return (F.col(owner) == own) & (F.col(start) <= _at(as_of)) & (F.col(end) >= _at(as_of))
 
 
 def process(start: str, end: str, phase: int | None, as_of) -> Column | None:

@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import OWN_PLATFORM
+
 
 def page(rows: DataFrame, order: list, number: int = 0, size: int = 10, offset: int = 0) -> DataFrame:
     """Rows number * size + offset onward, in an order that ends with a unique key."""
@@ -54,10 +56,10 @@ def enrich(hits: DataFrame, rows: DataFrame, key: str, *columns: str) -> DataFra
     return hits.join(rows.select(key, *columns), key, "left")
 
 
-def shape_courses(rows: DataFrame, as_of, owner: str, start: str, end: str) -> DataFrame:
+def shape_courses(rows: DataFrame, as_of, owner: str, start: str, end: str, own: str = OWN_PLATFORM) -> DataFrame:
     """Adds hasTA (own courses that run now) and shows the newer count of learners under the older name."""
     now = F.lit(str(as_of)).cast("timestamp_ntz")
-    running = (F.col(owner) == "xuetangX") & (F.col(start) < now) & (F.col(end).isNull() | (F.col(end) > now))
+    running = (F.col(owner) == own) & (F.col(start) < now) & (F.col(end).isNull() | (F.col(end) > now))
     return rows.withColumn("hasTA", F.coalesce(running, F.lit(False))).withColumn("accumulate_num", F.col("accumulate_num_v2")).drop("accumulate_num_v2")
 
 

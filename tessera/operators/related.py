@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,24 +68,23 @@ def clean_log_query(c: Column) -> Column:
 
 
 def _session_pairs(gap: float, same_gap: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # the anchor stays while queries follow within the gap
-        rows = rows.sort_values(["ts", "query"])
-        out, anchor, at = [], None, 0.0
-        for query, ts in zip(rows["query"], rows["ts"]):
-            if anchor is None:
-                anchor, at = query, ts
-                continue
-            t = ts - at
-            if query == anchor:
-                if t > same_gap:
-                    at = ts
-            elif t < gap:
-                t = max(1.0, t)
-                out += [(anchor, query, 10.0 / t), (query, anchor, 2.0 / t)]
-            else:
-                anchor, at = query, ts
-        return pd.DataFrame(out, columns=["src", "dst", "score"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come piece by piece in order; the anchor stays while queries follow within the gap
+        piece, anchor, at = None, None, 0.0
+        for rows in batches:
+            out = []
+            for key, ts, query in zip(zip(rows["session"], rows["piece"]), rows["ts"], rows["query"]):
+                t = ts - at
+                if key != piece:
+                    piece, anchor, at = key, query, ts
+                elif query == anchor:
+                    at = ts if t > same_gap else at
+                elif t < gap:
+                    t = max(1.0, t)
+                    out += [(anchor, query, 10.0 / t), (query, anchor, 2.0 / t)]
+                else:
+                    anchor, at = query, ts
+            yield pd.DataFrame(out, columns=["src", "dst", "score"])
 
     return run
 
@@ -101,7 +102,8 @@ def session_edges(log: DataFrame, gap: float = GAP, same_gap: float = SAME_GAP)
     rows = rows.withColumn("fresh", fresh)
     piece = F.sum("fresh").over(Window.partitionBy("session").orderBy("ts", "query").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("piece", piece)
-    found = rows.groupBy("session", "piece").applyInPandas(_session_pairs(gap, same_gap), "src string, dst string, score double")
+    dealt = rows.select("session", "piece", "ts", "query").repartition("session", "piece").sortWithinPartitions("session", "piece", "ts", "query")
+    found = dealt.mapInPandas(_session_pairs(gap, same_gap), "src string, dst string, score double")
     return found.groupBy("src", "dst").agg(F.sum("score").alias("score"))
 
 

@@ -272,7 +272,7 @@ def top_per_group(spark, d):
 @query(f"""WITH s AS ({_SPAN}) SELECT o_orderkey, CASE WHEN stop < TIMESTAMP '{AS_OF}' THEN -1 WHEN start <= TIMESTAMP '{AS_OF}' AND stop >= TIMESTAMP '{AS_OF}' THEN 0 ELSE 1 END AS time_status,
 o_orderkey % 2 = 0 AND start < TIMESTAMP '{AS_OF}' AND stop > TIMESTAMP '{AS_OF}' AS "hasTA", o_orderkey % 97 AS accumulate_num FROM s""")
 def shape_results(spark, d):
-    rows = _span(spark, d).withColumns({"owner": F.when(F.col("o_orderkey") % 2 == 0, "xuetangX").otherwise("other"), "accumulate_num": F.lit(0).cast("long"), "accumulate_num_v2": F.col("o_orderkey") % 97})
+    rows = _span(spark, d).withColumns({"owner": F.when(F.col("o_orderkey") % 2 == 0, filters.OWN_PLATFORM).otherwise("other"), "accumulate_num": F.lit(0).cast("long"), "accumulate_num_v2": F.col("o_orderkey") % 97})
     rows = page.shape_courses(rows, AS_OF, "owner", "start", "stop").withColumn("time_status", page.time_status("start", "stop", AS_OF))
     return rows.select("o_orderkey", "time_status", "hasTA", "accumulate_num")
 
