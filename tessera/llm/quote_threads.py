@@ -86,7 +86,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     asked = asked.select("msg", "conv_id", "turn", "level", F.length("text").alias("size"), F.md5("text").alias("unit"))
     met = asked.join(first, ["conv_id", "unit"], "left").join(ever, "unit", "left")
     here = F.when(F.col("here.turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv"), F.col("here.turn").alias("turn"), F.col("here.msg").alias("msg")))
-    earlier = F.struct("ever.conv_id", "ever.here.turn") < F.struct("conv_id", "turn")
+    # a struct of nulls would come before any other
+    earlier = F.col("ever").isNotNull() & (F.struct("ever.conv_id", "ever.here.turn") < F.struct("conv_id", "turn"))
     there = F.when(earlier, F.struct(F.col("ever.conv_id").alias("conv"), F.col("ever.here.turn").alias("turn"), F.col("ever.here.msg").alias("msg")))
     met = met.withColumn("to", F.coalesce(here, there)).where("to is not null")
     best = F.max(F.struct((-F.col("level")).alias("level"), (F.col("to.conv") == F.col("conv_id")).alias("same"), "size", (-F.col("to.turn")).alias("early"), "to")).alias("best")

@@ -28,4 +28,36 @@ o AS (SELECT *, CASE WHEN part > 1e-9 THEN (u / (1 - u)) / (part / (1 - part)) E
 y AS (SELECT *, CASE WHEN odds IS NOT NULL THEN sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY floor(odds / (1 + odds) * 281474976710656), doc_id ROWS UNBOUNDED PRECEDING) END AS upto FROM o)
 SELECT doc_id, size, source_size, round(target, 6) AS target, ((whole + CASE WHEN upto - size / 2 <= missing THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM y"""
 
-ORACLE_SQL = {"op1_embedding_dedup": OP1, "op7_pareto_mix": OP7}
+_MARKS = r"^(?:[ \t]*>)+"
+_INTRODUCES = r"(?i)^.*\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
+
+
+def _units(text: str) -> str:
+    """Distinct normalised units of a text: the whole, paragraphs, lines."""
+    parts = rf"[{text}] || string_split_regex({text}, '\n[ \t]*\n') || string_split({text}, chr(10))"
+    normal = f"[lower(trim(regexp_replace(x, '{_WHITE}', ' ', 'g'))) FOR x IN {parts}]"
+    return f"list_distinct([y FOR y IN {normal} IF y <> ''])"
+
+
+OP4 = rf"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, * FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) AS copies FROM conversations GROUP BY ALL)),
+c AS (SELECT id, string_split_regex(text, '\r?\n') AS ls FROM m),
+r AS (SELECT id, unnest(range(len(ls))) AS i, unnest(ls) AS raw FROM c),
+l AS (SELECT id, i, length(regexp_replace(regexp_extract(raw, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(raw, '{_MARKS}[ \t]?', '') AS line FROM r),
+n AS (SELECT id, (count(*) FILTER (level > 0))::INT AS n_quoted FROM l GROUP BY id),
+b AS (SELECT id, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM l JOIN n USING (id) WHERE level = 0 AND NOT (n_quoted > 0 AND regexp_matches(line, '{_INTRODUCES}')) GROUP BY id),
+d AS (SELECT m.*, n_quoted, coalesce(body, '') AS body FROM m JOIN n USING (id) LEFT JOIN b USING (id)),
+u AS (SELECT id, conv_id, turn, unnest({_units('body')}) AS unit FROM d WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+f AS (SELECT conv_id, unit, min(turn) AS t, arg_min(id, turn) AS id FROM u GROUP BY conv_id, unit),
+e AS (SELECT unit, arg_min({{'c': conv_id, 't': t, 'id': id}}, {{'c': conv_id, 't': t}}) AS v FROM f GROUP BY unit),
+k AS (SELECT DISTINCT id, level FROM l WHERE level > 0),
+g AS (SELECT k.id, k.level, string_agg(CASE WHEN l.level = k.level THEN line ELSE '' END, chr(10) ORDER BY i) AS quoted FROM k JOIN l ON k.id = l.id GROUP BY k.id, k.level),
+a AS (SELECT g.id, conv_id, turn, level, unnest({_units('quoted')}) AS unit FROM g JOIN d USING (id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+h AS (SELECT a.id, a.conv_id, level, length(a.unit) AS size, CASE WHEN f.t < turn THEN {{'c': a.conv_id, 't': f.t, 'id': f.id}} WHEN v.c < a.conv_id OR (v.c = a.conv_id AND v.t < turn) THEN v END AS up FROM a LEFT JOIN f ON f.conv_id = a.conv_id AND f.unit = a.unit LEFT JOIN e ON e.unit = a.unit),
+o AS (SELECT id, up, row_number() OVER (PARTITION BY id ORDER BY level, (up.c = conv_id) DESC, size DESC, up.t, up.c DESC) AS place, level FROM h WHERE up IS NOT NULL),
+y AS (SELECT id, any_value(up) FILTER (place = 1) AS up, count(DISTINCT level) AS n_linked FROM o GROUP BY id),
+p AS (SELECT id, up.id AS top, 1 AS depth FROM y UNION ALL SELECT p.id, y.up.id, depth + 1 FROM p JOIN y ON p.top = y.id),
+z AS (SELECT id, arg_max(top, depth) AS top, max(depth)::BIGINT AS depth FROM p GROUP BY id),
+w AS (SELECT d.*, coalesce(n_linked, 0) AS n_linked, y.up.c AS reply_conv, y.up.t AS reply_turn, coalesce(CASE WHEN q.conv_id = d.conv_id THEN q.turn ELSE d.turn END, d.turn) AS thread_turn, coalesce(depth, 0) AS depth FROM d LEFT JOIN y ON y.id = d.id LEFT JOIN z ON z.id = d.id LEFT JOIN m q ON q.id = z.top)
+SELECT conv_id, turn, role, copies, n_quoted, n_linked, reply_conv, reply_turn, thread_turn, depth, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn, turn, role NULLS FIRST, id) END AS position, body FROM w"""
+
+ORACLE_SQL = {"op4_quote_threads": OP4, "op1_embedding_dedup": OP1, "op7_pareto_mix": OP7}

@@ -2,10 +2,13 @@ import hashlib
 import random
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tessera.llm import matroska as m
 from tessera.llm import quote_threads
+from tessera.llm.sql import OP4
 
 
 @pytest.mark.parametrize("kind", [m.XIPH, m.EBML_LACING, m.FIXED])
@@ -83,6 +86,9 @@ def test_threads(spark):
         (4, 0): (1, None, None, 0, 0, 1, "wrote:\nplain, it introduces nothing: b wrote:"),
     }
     assert quote_threads.link_quotes(spark.createDataFrame([], CHAT)).count() == 0
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})  # noqa: F841
+    sql = duckdb.connect().execute(OP4.replace("FROM conversations", "FROM (SELECT conv_id::BIGINT AS conv_id, turn, role, text FROM conversations)")).fetchall()
+    assert sorted(map(str, sql)) == sorted(str(tuple(r)) for r in out)
 
 
 def test_long_chains_and_positions(spark):
