@@ -21,17 +21,20 @@ def child_weights(only_staff: bool = False) -> dict[str, float]:
     return {"staff": COURSE_WEIGHTS["staff"]} if only_staff else dict(COURSE_WEIGHTS)
 
 
-def postings(docs: DataFrame, key: list[str], text: str, tokens: DataFrame | None = None, keep_digits: bool = False) -> DataFrame:
+def postings(docs: DataFrame, key: list[str], text: str, tokens: DataFrame | list[str] | None = None, keep_digits: bool = False) -> DataFrame:
     """key columns, token, tf, dl: one row for each distinct token of each document.
 
-    With ``tokens`` (column token, the analysed query: at most six and the
-    query itself) only their postings are kept, before anything is shuffled;
-    lengths still count every token.
+    With ``tokens`` only their postings are kept, before anything is shuffled;
+    lengths still count every token.  A list is one analysed query (at most six
+    tokens and the query itself) and is looked for inside the array, so other
+    tokens never become rows.  A table of tokens (column token) may be any size.
     """
     rows = docs.select(*key, latin_tokens(F.col(text), keep_digits).alias("_tokens")).withColumn("dl", F.size("_tokens"))
+    if isinstance(tokens, list):
+        rows = rows.withColumn("_tokens", F.filter("_tokens", lambda x: x.isin(tokens)))
     rows = rows.select(*key, "dl", F.explode("_tokens").alias("token"))
-    if tokens is not None:
-        rows = rows.join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi")
+    if isinstance(tokens, DataFrame):
+        rows = rows.join(tokens.select("token").distinct(), "token", "left_semi")
     return rows.groupBy(*key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -46,17 +49,20 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def token_scores(docs: DataFrame, key: list[str], text: str, tokens: DataFrame, keep_digits: bool = False) -> DataFrame:
-    """key columns, token, score: BM25 of each query token in each document that has it."""
+def token_scores(docs: DataFrame, key: list[str], text: str, tokens: DataFrame | list[str], keep_digits: bool = False, stats: DataFrame | None = None) -> DataFrame:
+    """key columns, token, score: BM25 of each query token in each document that has it.
+
+    ``stats`` is ``field_stats`` if it was stored before; else it costs a pass over the field.
+    """
     post = postings(docs, key, text, tokens, keep_digits)
     df = post.groupBy("token").agg(F.count("*").alias("df"))
-    stats = field_stats(docs, text, keep_digits)
-    # df has a row for each query token and stats is one row
-    joined = post.join(F.broadcast(df), "token").join(F.broadcast(stats))
+    stats = field_stats(docs, text, keep_digits) if stats is None else stats
+    df = F.broadcast(df) if isinstance(tokens, list) else df  # a row for each token of one query
+    joined = post.join(df, "token").join(F.broadcast(stats))  # one row
     return joined.select(*key, "token", bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl")).alias("score"))
 
 
-def multi_field_scores(docs: DataFrame, key: list[str], fields: list[str], tokens: DataFrame, best: bool = True) -> DataFrame:
+def multi_field_scores(docs: DataFrame, key: list[str], fields: list[str], tokens: DataFrame | list[str], best: bool = True) -> DataFrame:
     """A token's score over several fields of one row: the best field's, or with ``best`` off their sum."""
     parts = [token_scores(docs, key, f, tokens) for f in fields]
     rows = parts[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import analyzers, text
 from tessera.operators import page, retrieve
 from tessera.plans import entities
-from tessera.plans.search_queries import _bm25_sql, _clauses, _tokens, _words
+from tessera.plans.search_queries import _bm25_sql, _clauses, _tokens
 from tessera.registry import query
 from tessera.sources import schemas
 from tessera.sources.readers import table as T
@@ -28,8 +28,8 @@ _KINDS = f"{_bm25_sql('documents', 'doc_id', 'text', ['the', 'tion'], 'a')}, {_b
 
 @query(f"WITH {_KINDS}, p AS (SELECT item_type, id, score FROM h WHERE item_type = 'course' ORDER BY score DESC, id LIMIT 10), t AS (SELECT item_type, count(*) AS n FROM h GROUP BY item_type) SELECT item_type, id AS value FROM p UNION ALL SELECT 'total ' || item_type, n FROM t UNION ALL SELECT 'total all', sum(n)::BIGINT FROM t")
 def search_home_counts(spark, d):
-    a = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", _words(spark, ["the", "tion"]))
-    b = retrieve.token_scores(T(spark, d, "part"), ["p_partkey"], "p_name", _words(spark, ["red", "gear"]))
+    a = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", ["the", "tion"])
+    b = retrieve.token_scores(T(spark, d, "part"), ["p_partkey"], "p_name", ["red", "gear"])
     total = lambda s, key, kind: s.groupBy(F.col(key).alias("id")).agg(F.round(F.sum("score"), 6).alias("score")).withColumn("item_type", F.lit(kind))
     shown, counts = entities.home_counts(total(a, "doc_id", "knowledge").unionByName(total(b, "p_partkey", "course")), "course", page.relevance("id"))
     return shown.select("item_type", F.col("id").alias("value")).unionByName(counts.select(F.concat(F.lit("total "), "item_type").alias("item_type"), F.col("total").alias("value")))

@@ -46,12 +46,16 @@ def _clauses(spark: SparkSession, plan: planner.QueryPlan) -> DataFrame:
     return spark.createDataFrame(plan.clauses() or [("", 0.0, "should")], "token string, weight double, clause string")
 
 
+def _names(plan: planner.QueryPlan) -> list[str]:
+    return [t for t, _, _ in plan.clauses()]
+
+
 def search_courses(catalogue: Catalogue, plan: planner.QueryPlan, kept: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """course_id, score: each token's child scores, by the kind's weight, summed over a course's children."""
     spark = kept.sparkSession
     clauses = _clauses(spark, plan)
     children = retrieve.has_parent(catalogue.children, kept, "course_id")
-    scores = retrieve.token_scores(children, ["course_id", "child_id", "kind"], "text", clauses)
+    scores = retrieve.token_scores(children, ["course_id", "child_id", "kind"], "text", _names(plan))
     table = spark.createDataFrame(list((weights or retrieve.child_weights()).items()), "kind string, share double")
     scores = scores.join(F.broadcast(table), "kind").groupBy("course_id", "token").agg(F.sum(F.col("score") * F.col("share")).alias("score"))
     return retrieve.boolean_scores(scores, ["course_id"], clauses, plan.must_p, plan.should_p)
@@ -59,7 +63,7 @@ def search_courses(catalogue: Catalogue, plan: planner.QueryPlan, kept: DataFram
 
 def search_others(docs: DataFrame, kind: str, plan: planner.QueryPlan) -> DataFrame:
     clauses = _clauses(docs.sparkSession, plan)
-    scores = retrieve.token_scores(docs, ["doc_id"], "text", clauses).withColumn("score", F.col("score") * retrieve.OTHER_WEIGHTS[kind])
+    scores = retrieve.token_scores(docs, ["doc_id"], "text", _names(plan)).withColumn("score", F.col("score") * retrieve.OTHER_WEIGHTS[kind])
     return retrieve.boolean_scores(scores, ["doc_id"], clauses, plan.must_p, plan.should_p)
 
 

@@ -40,10 +40,6 @@ def _clauses(spark: SparkSession, rows: list[tuple[str, float, str]]) -> DataFra
     return spark.createDataFrame(rows, "token string, weight double, clause string")
 
 
-def _words(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "token string")
-
-
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 
 _SEARCH = ["the", "tion", "anin", "ing"]
@@ -52,7 +48,7 @@ _SEARCH = ["the", "tion", "anin", "ing"]
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', _SEARCH)} SELECT doc_id, round(sum(score), 6) AS score FROM s GROUP BY doc_id HAVING sum(score) >= 1.1 ORDER BY round(sum(score), 6) DESC, doc_id LIMIT 10")
 def search_bm25_docs(spark, d):
     docs = T(spark, d, "documents")
-    scores = retrieve.token_scores(docs, ["doc_id"], "text", _words(spark, _SEARCH))
+    scores = retrieve.token_scores(docs, ["doc_id"], "text", _SEARCH)
     hits = retrieve.boolean_scores(scores, ["doc_id"], _clauses(spark, [(w, 1.0, "should") for w in _SEARCH]), 0, 1)
     return page.page(hits.withColumn("score", F.round("score", 6)), page.relevance(), size=10)
 
@@ -64,7 +60,7 @@ _W = "CASE token WHEN 'inin' THEN 3.0 WHEN 'onth' THEN 1.0 WHEN 'erha' THEN 1.5
 @query(f"""WITH {_bm25_sql('documents', 'doc_id', 'text', _MUST)} SELECT doc_id, round(sum(CASE WHEN token = 'eder' THEN 0 ELSE score * {_W} END), 6) AS score FROM s GROUP BY doc_id
 HAVING count(*) FILTER (token = 'thon') >= 1 AND count(*) FILTER (token IN ('inin', 'onth', 'erha')) >= 1 AND count(*) FILTER (token = 'eder') = 0 AND sum(CASE WHEN token = 'eder' THEN 0 ELSE score * {_W} END) >= 1.1""")
 def search_must_should(spark, d):
-    scores = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", _words(spark, _MUST))
+    scores = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", _MUST)
     clauses = _clauses(spark, [("thon", 2.0, "must"), ("inin", 3.0, "should"), ("onth", 1.0, "should"), ("erha", 1.5, "should"), ("eder", 1.0, "must_not")])
     return retrieve.boolean_scores(scores, ["doc_id"], clauses, 1, 1).withColumn("score", F.round("score", 6))
 
@@ -72,13 +68,13 @@ def search_must_should(spark, d):
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', ['the', 'tion', 'and'])} SELECT doc_id, round(sum(score) * 7.5, 6) AS score FROM s GROUP BY doc_id HAVING count(DISTINCT token) = 3")
 def search_full_query_and(spark, d):
     words = ["the", "tion", "and"]
-    scores = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", _words(spark, words))
+    scores = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", words)
     return retrieve.all_tokens_scores(scores, ["doc_id"], len(words), 7.5).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', ['the', 'of'])} SELECT doc_id, round(sum(score), 6) AS score FROM s GROUP BY doc_id HAVING sum(score) >= 0.3 ORDER BY round(sum(score), 6) DESC, doc_id LIMIT 10 OFFSET 23")
 def search_min_score_page2(spark, d):
-    scores = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", _words(spark, ["the", "of"]))
+    scores = retrieve.token_scores(T(spark, d, "documents"), ["doc_id"], "text", ["the", "of"])
     hits = retrieve.boolean_scores(scores, ["doc_id"], _clauses(spark, [("the", 1.0, "should"), ("of", 1.0, "should")]), 0, 1, 0.3)
     return page.page(hits.withColumn("score", F.round("score", 6)), page.relevance(), number=2, size=10, offset=3)
 
@@ -90,7 +86,7 @@ _PART = ["red", "widget", "small", "blue", "hot", "gear", "economy"]
 u AS (SELECT p_partkey, token, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
 SELECT p_partkey, round(sum(score) * 170, 5) AS score FROM u GROUP BY p_partkey HAVING sum(score) * 170 >= 1.1""")
 def search_multi_field_weights(spark, d):
-    scores = retrieve.multi_field_scores(T(spark, d, "part"), ["p_partkey"], ["p_name", "p_type"], _words(spark, _PART))
+    scores = retrieve.multi_field_scores(T(spark, d, "part"), ["p_partkey"], ["p_name", "p_type"], _PART)
     clauses = _clauses(spark, [(w, retrieve.COURSE_WEIGHTS["title"], "should") for w in _PART])
     return retrieve.boolean_scores(scores, ["p_partkey"], clauses, 0, 1).withColumn("score", F.round("score", 5))
 
@@ -116,7 +112,7 @@ def search_mixed_totals(spark, d):
     sources = {"knowledge": (T(spark, d, "documents"), "doc_id", "text", ["the", "tion"], 85.0), "live": (T(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text", ["the", "tion"], 200.0), "course": (T(spark, d, "part"), "p_partkey", "p_name", ["the", "tion", "red"], 170.0)}
     parts = {}
     for kind, (rows, key, text, words, share) in sources.items():
-        scores = retrieve.token_scores(rows, [key], text, _words(spark, words))
+        scores = retrieve.token_scores(rows, [key], text, words)
         parts[kind] = scores.groupBy(F.col(key).alias("id")).agg((F.sum("score") * share).alias("score"))
     return page.totals(retrieve.mixed(parts, "id"))
 
@@ -124,7 +120,7 @@ def search_mixed_totals(spark, d):
 @query(f"""WITH {_bm25_sql('(SELECT conv_id * 1000 + turn AS id, conv_id, text FROM conversations)', 'conv_id, id', 'text', ['the', 'heon', 'ing'])} SELECT conv_id, round(sum(score), 6) AS score FROM s GROUP BY conv_id""")
 def search_has_child_sum(spark, d):
     rows = T(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    scores = retrieve.token_scores(rows, ["conv_id", "id"], "text", _words(spark, ["the", "heon", "ing"]))
+    scores = retrieve.token_scores(rows, ["conv_id", "id"], "text", ["the", "heon", "ing"])
     return retrieve.has_child(scores, "conv_id").withColumn("score", F.round("score", 6))
 
 
@@ -149,7 +145,7 @@ h AS (SELECT conv_id FROM c GROUP BY conv_id ORDER BY round(sum(score), 6) DESC,
 SELECT conv_id, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY round(score, 6) DESC, id) AS n FROM c WHERE conv_id IN (SELECT conv_id FROM h) AND kind IN ('user', 'assistant')) WHERE n = 1""")
 def enrich_best_child(spark, d):
     rows = T(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    scores = retrieve.token_scores(rows, ["conv_id", "id", "role"], "text", _words(spark, ["the", "heon"]))
+    scores = retrieve.token_scores(rows, ["conv_id", "id", "role"], "text", ["the", "heon"])
     children = scores.groupBy("conv_id", F.col("role").alias("kind"), "id").agg(F.sum("score").alias("score"))
     hits = page.page(retrieve.has_child(children, "conv_id").withColumn("score", F.round("score", 6)), page.relevance("conv_id"), size=20)
     return page.best_child(hits, children.withColumn("score", F.round("score", 6)), "conv_id", ["user", "assistant"], "id").select("conv_id", "kind", "id")
