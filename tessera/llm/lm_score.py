@@ -117,12 +117,32 @@ class _Ids(dict):
         return k
 
 
+def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """At most ``most`` words by falling count, with their counts: all that are as frequent as a threshold.
+
+    The threshold comes from numbers of words by the logarithm of their count, a
+    few hundred rows; so the tasks send what is taken and no heaps to merge.
+    """
+    size = F.floor(F.log2("c") * 16).cast("int")
+    words = counts.where(F.col("word") != END).withColumn("size", size)
+    bins = sorted(((r["size"], r.n) for r in words.groupBy("size").agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for k, n in bins:
+        if total + n > most:
+            break
+        total, least = total + n, k
+    if least is None and bins:  # more words than that are equally frequent
+        taken = words.where(F.col("size") == bins[0][0]).orderBy(F.desc("c"), "word").limit(min(OUTPUTS, most)).collect()
+    else:
+        taken = words.where(F.col("size") >= F.lit(least)).collect()
+    return sorted(((bytes(r.word), r.c) for r in taken), key=lambda x: (-x[1], x[0]))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The end comes first, then words by falling count; bounded by HEAD and CLASSES."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HEAD)
-    rows = counts.where(F.col("word") == END).collect() + top.collect()
-    words, numbers = [bytes(r.word) for r in rows], [r.c for r in rows]
+    rows = [(bytes(r.word), r.c) for r in counts.where(F.col("word") == END).collect()] + frequent(counts)
+    words, numbers = [w for w, _ in rows], [c for _, c in rows]
     sums = counts.mapInArrow(_class_sums, "class int, total long, distinct long").groupBy("class").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
     total, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in sums.collect():

@@ -46,6 +46,16 @@ def test_scores_against_brute_force(corpus, make):
     assert lm_score.score(make([]), training).count() == 0
 
 
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{i:03d}".encode(), 1 + 1000 // (i + 1)) for i in range(300)] + [(b"", 9999)], "word binary, c long")
+    got = lm_score.frequent(counts, 40)
+    assert 20 <= len(got) <= 40 and got == sorted([(f"w{i:03d}".encode(), 1 + 1000 // (i + 1)) for i in range(len(got))], key=lambda x: (-x[1], x[0]))
+    assert len(lm_score.frequent(counts, 10_000)) == 300
+    same = spark.createDataFrame([(f"w{i:03d}".encode(), 7) for i in range(30)], "word binary, c long")
+    assert [w for w, _ in lm_score.frequent(same, 5)] == [f"w{i:03d}".encode() for i in range(5)]
+    assert lm_score.frequent(counts.limit(0), 5) == []
+
+
 def test_folds_are_crc32(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", fold().alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
