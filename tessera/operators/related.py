@@ -13,6 +13,8 @@ from tessera.functions.text import runs
 # Fixed values of the service: weights of kinds of terms, terms of a short course, gaps in seconds, page sizes.
 NAME_WEIGHT, STAFF_WEIGHT, STRUCTURE_WEIGHT, WORD_WEIGHT = 10, 3, 2, 1
 SHORT, SHORT_FACTOR, GAP, SAME_GAP, TOP, HAS_RESULT = 20, 100.0, 90, 4, 10, 300.0
+#: Parts of a course's terms, each of which is paired with all its terms by itself.
+BLOCKS = 8
 
 
 def bigrams(tokens: Column) -> Column:
@@ -39,15 +41,21 @@ def nodes(stats: DataFrame) -> DataFrame:
     return rows.select("term", "tf", "df", F.col("x.kind").alias("kind"), F.col("x.num").alias("num"))
 
 
-def edges(stats: DataFrame, most: int = 200) -> DataFrame:
-    """src, dst: ordered pairs of different terms of one course, of its ``most`` terms by tf; once for all courses.
+def edges(stats: DataFrame, most: int | None = None) -> DataFrame:
+    """src, dst: ordered pairs of different terms of one course; once for all courses.
 
-    Pairs of a course are as many as its terms squared, so the bound is part of the operator.
+    Of all terms of each course, or of its ``most`` terms by tf.  A course's
+    pairs are as many as its terms squared: its terms stand on one side in
+    BLOCKS parts, so that several tasks make the pairs of a large course.
     """
-    place = F.row_number().over(Window.partitionBy("course_id").orderBy(F.desc("tf"), "term"))
-    kept = stats.withColumn("place", place).where(F.col("place") <= most).select("course_id", "term")
-    a, b = kept.withColumnRenamed("term", "src"), kept.withColumnRenamed("term", "dst")
-    return a.join(b, "course_id").where("src <> dst").select("src", "dst").distinct()
+    kept = stats.select("course_id", "term")
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("course_id").orderBy(F.desc("tf"), "term"))
+        kept = stats.withColumn("place", place).where(F.col("place") <= most).select("course_id", "term")
+    part = F.pmod(F.xxhash64("term"), F.lit(BLOCKS))
+    a = kept.select("course_id", F.col("term").alias("src"), part.alias("part"))
+    b = kept.select("course_id", F.col("term").alias("dst"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias("part"))
+    return a.join(b, ["course_id", "part"]).where("src <> dst").select("src", "dst").distinct()
 
 
 def edge_scores(pairs: DataFrame, terms: DataFrame, docs: int) -> DataFrame:

@@ -136,3 +136,12 @@ def test_served_terms_need_results(spark):
     rows = spark.createDataFrame([("a", "b", 2.0, 1), ("a", "c", 1.0, 2)], "src string, dst string, score double, place int")
     hits = spark.createDataFrame([("b", 200.0), ("b", 150.0), ("c", 10.0)], "dst string, score double")
     assert [(r.word, [tuple(x) for x in r.result]) for r in related.serve(related.with_results(rows, hits)).collect()] == [("a", [("b", 2.0)])]
+
+
+def test_edges_pair_all_terms_of_a_course(spark):
+    """A course of more terms than any list of its heaviest, and one that shares some of them."""
+    courses = {1: [f"t{i}" for i in range(260)], 2: ["t0", "t1", "x"], 3: ["alone"]}
+    stats = related.term_stats(spark.createDataFrame([(c, t, 1) for c, terms in courses.items() for t in terms], "course_id long, term string, weight int"))
+    found = related.edges(stats).collect()
+    want = {(a, b) for terms in courses.values() for a in terms for b in terms if a != b}
+    assert len(found) == len(want) and {(r.src, r.dst) for r in found} == want
