@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pareto_mix, simhash, suffix_dedup, toxicity
+from tessera.llm import bpe, near_copies, pareto_mix, simhash, suffix_dedup, toxicity
 from tessera.llm.common import Staged, table
 
 
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, found_by=near_copies.near_components)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ task ever meets an unbounded node.  Equal fingerprints are one class beforehand.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -28,17 +28,17 @@ START, LEAF, STEP = 384, 2048, 4
 _SLICE = 1 << 16
 
 
-def _hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     words = text.lower().split()
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
-    starts = [0, *(e + 1 for e in ends[: -SHINGLE])]
+    starts = [0, *(e + 1 for e in ends[: -size])]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
 
 
 def _bits(hashes: list[int]) -> np.ndarray:
@@ -64,7 +64,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     held: list[tuple[int, list[int]]] = []
     size = 0
     for i, text in enumerate(texts):
-        if hashes := _hashes(text):
+        if hashes := shingle_hashes(text):
             if size and size + len(hashes) > _SLICE:
                 out[[k for k, _ in held]] = _majority([x for _, x in held])
                 held, size = [], 0
@@ -203,14 +203,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "group")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found_by: Callable[..., DataFrame] = simhash_components) -> DataFrame:
     """The rows of ``docs``, one for each component: the smallest id, among equal ids the smallest digest of the text.
 
     Of rows equal in both only one stays.  A component of null ids keeps one too.
+    ``found_by`` gives the components.
     """
     digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     spark = docs.sparkSession
-    found = simhash_components(docs, id_col, text_col, digest)
+    found = found_by(docs, id_col, text_col, digest)
     # among rows of a component that share its smallest id, and so its null if it has no other
     first = found.groupBy("component_id", "group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("x"))
     chosen = Staged(spark, "simhash")(first.select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_own")).distinct(), "chosen")
