@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that also start elsewhere go; documents stay, if need be empty."""
-    return suffix_dedup.remove_repeats(docs)
+    """Bytes of strings that also start elsewhere go, and passages of over 50 words; documents stay, if need be empty."""
+    return suffix_dedup.remove_repeats(docs, words=suffix_dedup.PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

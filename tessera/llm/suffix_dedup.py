@@ -24,10 +24,12 @@ other places of its strings.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,12 @@ from .common import Staged, table, tasks_for, utf8
 from .suffix_array import MOST, repeated
 
 LENGTH, GRAM = 400, 32
+#: Words of the shortest passage that repeats, for callers that count words; and bytes that stand for a word.
+PASSAGE, CODE = 51, 4
 #: Starts of a long text that are cut together; and context bytes of an anchor that one shard takes.
 SEGMENT, SPREAD = 400_000, 1 << 19
 
+_WORD = re.compile(r"\S+")
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = _rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +77,18 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return h, (low & _PLACE).astype(np.int64)
 
 
-def _cutter(length: int):
+def coded(body: bytes) -> bytes:
+    """CODE bytes for each word of a text, so that a string of words has a length in bytes."""
+    return b"".join(map(xxhash.xxh32_digest, _WORD.findall(body.decode())))
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies = pa.array([coded(x) for x in batch.column("body").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bodies, batch.column("text_key")], names=["doc_id", "body", "text_key"])
+
+
+def _cutter(length: int, code: bool = False):
     def segments(bodies):
         """(row, first start, bytes) with at most SEGMENT starts each."""
         for i, body in enumerate(bodies):
@@ -111,7 +127,8 @@ def _cutter(length: int):
                 return pa.RecordBatch.from_arrays(columns, schema=_CUT)
 
             group, size = [], 0
-            for item in segments(batch.column("body").to_pylist()):
+            bodies = batch.column("body").to_pylist()
+            for item in segments(map(coded, bodies) if code else bodies):
                 group.append(item)
                 size += len(item[2])
                 if size >= SEGMENT:
@@ -258,18 +275,20 @@ def text_key(body):
     return F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", code: bool = False) -> DataFrame:
     """text_key, removed for the distinct texts with something to remove.
 
     ``text_key`` is the start of the text's SHA-256; ``removed`` holds pairs of
-    little-endian 64-bit integers (from, to), maximal and in order.
+    little-endian 64-bit integers (from, to), maximal and in order.  With
+    ``code`` lengths and pairs are those of the texts' coded words.
     """
     spark = docs.sparkSession
     n = tasks_for(spark)
     staged = Staged(spark, "suffix")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body")).withColumn("text_key", text_key(F.col("body")))
-    long = rows.where(F.length("body") >= length)
-    places = staged(long.mapInArrow(_cutter(length), "anchor long, digest binary, doc_id long, text_key binary, at int, len int"), "places")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), text_key(utf8(text_col)).alias("text_key"))
+    # words of a byte each, with what is between them
+    long = rows.where(F.length("body") >= (2 * length // CODE - 1 if code else length))
+    places = staged(long.mapInArrow(_cutter(length, code), "anchor long, digest binary, doc_id long, text_key binary, at int, len int"), "places")
 
     contexts = places.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "at", "len")).alias("rep"))
     shared = contexts.groupBy("anchor").agg(F.sum("copies").alias("all"), F.sum("rep.len").alias("bytes")).where("all > 1")
@@ -281,6 +300,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         F.collect_list(F.struct("anchor", "part", "parts", "digest", "copies", F.col("rep.at").alias("at"), F.col("rep.len").alias("len"))).alias("list")
     )
     same = F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("text_key") == F.col("key"))
+    long = long.mapInArrow(_code, "doc_id long, body binary, text_key binary") if code else long
     held = long.join(wanted.hint("shuffle_hash"), same)
     cut = F.transform("list", lambda x: F.struct(x["anchor"], x["part"], x["parts"], x["digest"], x["copies"], F.substring(F.col("body"), x["at"] + 1, x["len"]).alias("bytes")))
     names = ["anchor", "part", "parts", "digest", "copies", "bytes"]
@@ -296,6 +316,34 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     return removed
 
 
+def passage_spans(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text_key, removed (pairs in the coded text) of passages of so many words that also start elsewhere."""
+    return repeat_spans(docs, words * CODE, id_col, text_col, code=True)
+
+
+def passage_pairs(text: str, coded: bytes) -> np.ndarray:
+    """The bytes (from, to) of the text that pairs of its coded words cover."""
+    pairs = np.frombuffer(coded, "<i8").reshape(-1, 2)
+    spans = np.array([m.span() for m in _WORD.finditer(text)])
+    first, last = -(-pairs[:, 0] // CODE), pairs[:, 1] // CODE - 1
+    found = np.stack([spans[first, 0], spans[last, 1]], axis=1)
+    if text.isascii():
+        return found
+    point = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.concatenate([[0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF).astype(np.int64))])[found]
+
+
+def either(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Pairs that cover what one or the other covers, maximal and in order."""
+    out: list[list[int]] = []
+    for x, y in sorted([*a.tolist(), *b.tolist()]):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(y, out[-1][1])
+        else:
+            out.append([x, y])
+    return np.array(out, dtype="<i8").tobytes()
+
+
 def with_removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``_removed``, null where nothing is to be removed."""
     spans = repeat_spans(docs, length, id_col, text_col).withColumnsRenamed({"text_key": "_its", "removed": "_removed"})
@@ -312,27 +360,36 @@ def cut_out(body: bytes, removed: bytes | None) -> tuple[bytes, np.ndarray]:
     return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])), pairs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with repeated bytes cut from their texts, and ``chars_col`` counted anew.
 
-    A character of which a cut leaves only some bytes goes as a whole.  Null texts stay null.
+    A character of which a cut leaves only some bytes goes as a whole.  Null texts stay null.  With
+    ``words``, passages of that many words go too, however few bytes they have.
     """
-    schema = docs.schema
+    schema, docs_columns = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            kept = [None if x is None else cut_out(x.encode(), r)[0].decode("utf-8", "ignore") if r else x for x, r in zip(texts, batch.column("_removed").to_pylist())]
+            texts, removed = batch.column(text_col).to_pylist(), batch.column("_removed").to_pylist()
+            if words:
+                coded = batch.column("_passages").to_pylist()
+                removed = [either(np.frombuffer(r or b"", "<i8").reshape(-1, 2), passage_pairs(x, c)) if c else r for x, r, c in zip(texts, removed, coded)]
+            kept = [None if x is None else cut_out(x.encode(), r)[0].decode("utf-8", "ignore") if r else x for x, r in zip(texts, removed)]
             columns = []
-            for name, column in zip(batch.schema.names[:-1], batch.columns[:-1]):
+            for name, column in zip(docs_columns, batch.columns):
                 if name == text_col:
                     column = pa.array(kept, column.type)
                 elif name == chars_col:
-                    column = pa.array([n if r is None or k is None else len(k) for n, k, r in zip(column.to_pylist(), kept, batch.column("_removed").to_pylist())], column.type)
+                    column = pa.array([n if r is None or k is None else len(k) for n, k, r in zip(column.to_pylist(), kept, removed)], column.type)
                 columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    return with_removed(docs, length, id_col, text_col).select(*docs.columns, "_removed").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    rows = with_removed(docs, length, id_col, text_col)
+    if words:
+        spans = passage_spans(docs, words, id_col, text_col).withColumnsRenamed({"text_key": "_its", "removed": "_passages"})
+        rows = rows.withColumn("_key", text_key(utf8(text_col)))
+        rows = rows.join(spans.hint("shuffle_hash"), F.col("_key") == F.col("_its"), "left")
+    return rows.select(*docs_columns, "_removed", *["_passages"] * bool(words)).mapInArrow(run, schema)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

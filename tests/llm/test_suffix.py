@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -61,3 +62,41 @@ def test_texts_are_cut_and_columns_stay(corpus, make):
     by = {r.doc_id: r for r in out.collect()}
     assert by[1].text == by[2].text == "" and by[1].n_chars == 0 and by[5].text is None and by[8].text == "one two"
     assert suffix_dedup.remove_repeats(make([])).count() == 0
+
+
+def slow_passages(texts, words, length):
+    """Texts without strings of so many bytes or passages of so many words that occur twice."""
+    bodies, split = [t.encode() for t in texts], [list(re.finditer(r"\S+", t)) for t in texts]
+    uses, strings = defaultdict(int), defaultdict(int)
+    for b, ms in zip(bodies, split):
+        for p in range(len(b) - length + 1):
+            strings[b[p : p + length]] += 1
+        for k in range(len(ms) - words + 1):
+            uses[tuple(m.group() for m in ms[k : k + words])] += 1
+    out = []
+    for t, b, ms in zip(texts, bodies, split):
+        mark = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if strings[b[p : p + length]] > 1:
+                mark[p : p + length] = b"\1" * length
+        for k in range(len(ms) - words + 1):
+            if uses[tuple(m.group() for m in ms[k : k + words])] > 1:
+                x, y = len(t[: ms[k].start()].encode()), len(t[: ms[k + words - 1].end()].encode())
+                mark[x:y] = b"\1" * (y - x)
+        out.append(bytes(x for x, m in zip(b, mark) if not m).decode("utf-8", "ignore"))
+    return out
+
+
+def test_short_passages_of_many_words_are_cut(make):
+    """Passages of 51 words under 400 bytes, one of 50 that stays, one spaced otherwise, one of over 400 bytes."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randrange(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    short, less, wide, long = (" ".join(rng.choices("xyzäqp", k=n)) for n in (51, 50, 60, 300))
+    texts = [text(70) + " " + p + " " + text(80) for p in (short, short, less, less, wide, long, long)] + [text(9) + "\n" + wide.replace(" ", "  ") + "\t" + text(90), "", short]
+    docs = make(list(enumerate(texts)))
+    out = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, words=51).collect()}
+    want = slow_passages(texts, 51, 400)
+    assert [out[i].text for i in range(len(texts))] == want
+    assert all(out[i].n_chars == len(want[i]) for i in range(len(texts)))
+    assert short not in out[0].text and less in out[2].text
