@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, table, utf8
@@ -30,8 +30,10 @@ from .common import fold, table, utf8
 WINDOW, STEP = 64, 48
 #: Length of the segments' grams, of the surrounding that tells two uses apart, and bytes of the two dictionaries' parts.
 GRAM, BESIDE, ORDINARY, SEGMENTS = 5, 8, 8192, 8192
-#: Bounds of the labelled sample that the model is fitted on: rows of each label, and bytes of each label's texts.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 6_000, 9_000, 24_000_000
+#: Bounds of the labelled sample that the model is fitted on: rows of each label, and bytes of each label's texts; and the pieces that stand for a text too long for that.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES, PIECE = 6_000, 9_000, 24_000_000, 512
+#: Windows that the ordinary dictionary is trained on.
+TRAINED = 40_000
 #: In calibration, what the share of clean texts rejected weighs against the share of toxic texts caught.
 CLEAN_WEIGHT = 3
 _PARAMETERS = {"window_log": 18, "hash_log": 18, "chain_log": 17, "search_log": 8, "min_match": GRAM, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
@@ -98,7 +100,13 @@ def _segments(toxic: list[bytes], known: np.ndarray) -> bytes:
 
 
 def _ordinary(texts: list[bytes]) -> bytes:
-    samples = [bytes(w) for text in texts[:4000] for w in windows(text)[::5]][:40_000]
+    counts = np.array([len(range(0, max(1, len(t) - WINDOW + STEP), STEP)) for t in texts], dtype=np.int64)
+    ends = np.cumsum(counts)
+    total = int(counts.sum())
+    # evenly from all windows of all texts
+    chosen = np.unique(np.linspace(0, total - 1, min(TRAINED, -(-total // 5))).astype(np.int64)) if total else np.zeros(0, np.int64)
+    of = np.searchsorted(ends, chosen, side="right")
+    samples = [texts[i][k * STEP : k * STEP + WINDOW] for i, k in zip(of.tolist(), (chosen - (ends - counts)[of]).tolist())]
     try:
         return zstandard.train_dictionary(ORDINARY, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on
@@ -159,20 +167,47 @@ def fit(rows: list[tuple[bytes, int, bool]]) -> Model:
     return model
 
 
+def most_bytes(sizes: list[int], room: int) -> int:
+    """The most bytes a text may have for all texts to fit into the room once longer ones are cut to that."""
+    for i, n in enumerate(order := sorted(sizes)):
+        if n * (len(order) - i) > room:
+            return max(1, room // (len(order) - i))
+        room -= n
+    return max(sizes, default=1)
+
+
+def thinned(text: bytes, most: int) -> bytes:
+    """The text, or if it is longer whole words of pieces from all over it."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // PIECE)
+    size = most // n
+    pieces = [text[a : a + size] for a in np.linspace(0, len(text) - size, n).astype(np.int64).tolist()]
+    return b" ".join(b" ".join(p.split(b" ")[1:-1]) or p for p in pieces)[:most]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int, bool]]:
-    """At most TOXIC_ROWS and ORDINARY_ROWS labelled rows and SAMPLE_BYTES of each, in order of a hash of the id.
+    """At most TOXIC_ROWS and ORDINARY_ROWS labelled rows, the first in order of a hash of the id.
 
     Only rows outside fold 0; fold 4 is for calibration.  Null labels and ids
-    are left out, and repeated labels of an id count once.
+    are left out, and repeated labels of an id count once.  Every row stays:
+    if a label's texts have more than SAMPLE_BYTES, the longest are thinned.
     """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").where(fold() != 0).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     ids = ids.withColumn("place", F.xxhash64(F.lit(5), "doc_id"))
     parts = [ids.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(n) for k, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     chosen = parts[0].unionAll(parts[1])
     held = docs.select("doc_id", utf8().alias("body")).join(F.broadcast(chosen), "doc_id")  # at most 15,000 rows of three numbers
-    upto = F.sum(F.length("body")).over(Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    held = held.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
-    rows = held.select("body", "toxic", (fold() == 4).alias("later"), "place").collect()
+    sizes = held.select("toxic", F.length("body").alias("n")).collect()
+    most = {k: most_bytes([r.n for r in sizes if r.toxic == k], SAMPLE_BYTES) for k in (0, 1)}
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [thinned(x, most[y]) for x, y in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), *batch.columns[1:]], names=batch.schema.names)
+
+    kept = held.select("body", F.col("toxic").cast("int").alias("toxic"), (fold() == 4).alias("later"), "place")
+    rows = kept.mapInArrow(thin, "body binary, toxic int, later boolean, place long").collect()
     return [(bytes(r.body), r.toxic, r.later) for r in sorted(rows, key=lambda r: (r.place, bytes(r.body)))]
 
 

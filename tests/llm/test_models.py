@@ -98,3 +98,31 @@ def test_toxicity_over_tables(spark, make, words):
     nothing = toxicity.fit([])
     assert nothing.score(b"blarghful") == 0
     assert toxicity.score_texts(make([]), nothing).count() == 0
+
+
+def test_long_labelled_texts_leave_the_others_in_the_sample(spark, make, words, monkeypatch):
+    """The first toxic and the first ordinary text are longer than all texts of a label may be."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    rows = list(_labelled(words, 240))
+    ids = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long").select("doc_id", F.xxhash64(F.lit(5), "doc_id").alias("place"), fold().alias("f")).collect()
+    place = {r.doc_id: r.place for r in ids if r.f != 0}
+    toxic = {i: y for i, _, y in rows}
+    first = {min((i for i in place if toxic[i] == y), key=place.get) for y in (0, 1)}
+    docs = make([(i, " ".join([t] * (80_000 // len(t) + 1)) if i in first else t) for i, t, _ in rows])
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels)
+    assert len(sample) == len(place)
+    assert all(sum(len(t) for t, y, _ in sample if y == k) <= 60_000 for k in (0, 1))
+    model = toxicity.fit(sample)
+    held = [(t.encode(), y) for i, t, y in rows if i not in place]
+    assert np.mean([model.score(t) >= 0.5 for t, y in held if y]) > 0.9
+    assert np.mean([model.score(t) >= 0.5 for t, y in held if not y]) < 0.05
+
+
+def test_ordinary_windows_come_from_all_texts(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 64))
+    texts = [b"%06d " % i * 40 for i in range(6000)]
+    toxicity._ordinary(texts)
+    assert len(seen) <= 40_000
+    assert {int(m) for w in seen for m in w.split()[1:2]} > set(range(5990, 6000))
