@@ -47,17 +47,18 @@ def fuzzy_word(syllables: list[str]) -> list[list[str]]:
     return [sorted({s, *fuzzy_syllable(s)}) for s in syllables]
 
 
-def readings(words: DataFrame, table: DataFrame, most: int = 10) -> DataFrame:
+def readings(words: DataFrame, table: DataFrame, most: int | None = 10) -> DataFrame:
     """word, pinyin: every reading of a word from (char, reading), at most ``most`` by order of the spelling.
 
     Characters without a reading stand for themselves.  The product is built
-    from left to right and cut at each step, so it stays small.
+    from left to right and cut at each step, so it stays small; None takes all.
     """
     chars = words.select("word").distinct().select("word", F.posexplode(F.split("word", "")).alias("pos", "char")).where("char <> ''")
     by_char = table.groupBy("char").agg(F.array_sort(F.collect_set("reading")).alias("options"))
     held = chars.join(by_char, "char", "left").withColumn("options", F.coalesce("options", F.array("char")))
     lists = held.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
-    step = lambda acc, options: F.slice(F.flatten(F.transform(acc, lambda a: F.transform(options, lambda o: F.concat(a, o)))), 1, most)
+    longer = lambda acc, options: F.flatten(F.transform(acc, lambda a: F.transform(options, lambda o: F.concat(a, o))))
+    step = longer if most is None else lambda acc, options: F.slice(longer(acc, options), 1, most)
     return lists.select("word", F.explode(F.aggregate("lists", F.array(F.lit("")), step)).alias("pinyin"))
 
 

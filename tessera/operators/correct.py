@@ -52,7 +52,7 @@ def similar_words(words: DataFrame, groups: DataFrame) -> DataFrame:
 def expand_words(words: DataFrame, table: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dictionaries (pinyin, output, weight) and (similar_word, output, weight) of words with a usable length."""
     words = words.where(F.length("word").between(SHORTEST, LONGEST))
-    pinyin = readings(words, table, READINGS).join(words, "word").groupBy("pinyin", F.col("word").alias("output")).agg(F.max("weight").alias("weight"))
+    pinyin = readings(words, table, None).join(words, "word").groupBy("pinyin", F.col("word").alias("output")).agg(F.max("weight").alias("weight"))
     similar = similar_words(words, groups).join(words, "word").groupBy(F.col("similar").alias("similar_word"), F.col("word").alias("output")).agg(F.max("weight").alias("weight"))
     return pinyin, similar
 
@@ -160,7 +160,7 @@ def correct(queries: DataFrame, forced: DataFrame, words: DataFrame, pinyin: Dat
     phones = homophones(queries, pinyin, table).join(queries, "query")
     phones = phones.withColumn("verdict", homophone_column("clean", "output"))
     asked = queries.select("query", F.regexp_replace("clean", "[0-9]", "").alias("word"))
-    spelled = asked.join(readings(asked.select("word").distinct(), table, READINGS), "word").select("query", F.col("pinyin").alias("asked"))
+    spelled = asked.join(readings(asked.select("word").distinct(), table, None), "word").select("query", F.col("pinyin").alias("asked"))
     grams_ = gram_candidates(spelled, pinyin).join(queries, "query").withColumn("verdict", verdict_column("clean", "asked", "output", "entry"))
     grams_ = grams_.where("verdict <> 'reject'").groupBy("query", "output").agg(F.max("weight").alias("weight"), F.max("verdict").alias("verdict")).withColumn("tier", F.lit(5))
     tiers = [first, exact(queries, words), phones.where("verdict <> 'drop'"), similar_form(queries, similar), grams_]

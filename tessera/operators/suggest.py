@@ -100,9 +100,9 @@ def expand(entries: DataFrame, syllables: str, kinds: tuple[str, ...]) -> DataFr
     s, w = F.col(syllables), F.col("weight")
     full = F.array_join(s, "")
     fuzzy = F.transform(s, lambda x: F.concat(F.array(x), fuzzy_column(x)))
-    product = F.aggregate(fuzzy, F.array(F.lit("")), lambda acc, o: F.slice(F.flatten(F.transform(acc, lambda a: F.transform(o, lambda x: F.concat(a, x)))), 1, 64))
+    product = F.aggregate(fuzzy, F.array(F.lit("")), lambda acc, o: F.flatten(F.transform(acc, lambda a: F.transform(o, lambda x: F.concat(a, x)))))
     few = (F.size(s) < 5) & (F.length("output") < 6)
-    mixed = F.aggregate(s, F.array(F.lit("")), lambda acc, x: F.slice(F.flatten(F.transform(acc, lambda a: F.array(F.concat(a, x), F.concat(a, F.substring(x, 1, 1))))), 1, 64))
+    mixed = F.aggregate(F.when(few, s).otherwise(F.slice(s, 1, 0)), F.array(F.lit("")), lambda acc, x: F.flatten(F.transform(acc, lambda a: F.array(F.concat(a, x), F.concat(a, F.substring(x, 1, 1))))))
     branches = {
         "full": F.array(F.struct(full.alias("input"), (w - 1).cast("double").alias("weight"))),
         "first": F.array(F.struct(first_letters(s).alias("input"), (w - 2).cast("double").alias("weight"))),

@@ -1,5 +1,7 @@
 """Golden cases of text, pinyin, edit distances, highlighting and correction."""
 
+import itertools
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -145,3 +147,12 @@ def test_edges_pair_all_terms_of_a_course(spark):
     found = related.edges(stats).collect()
     want = {(a, b) for terms in courses.values() for a in terms for b in terms if a != b}
     assert len(found) == len(want) and {(r.src, r.dst) for r in found} == want
+
+
+def test_all_spellings_and_readings_of_long_words(spark):
+    rows = spark.createDataFrame([("k", "k", ["an"] * 8, 1000)], "input string, output string, syllables array<string>, weight int")
+    got = {r.input for r in suggest.expand(rows, "syllables", ("fuzzy",)).collect()}
+    assert got == {"".join(x) for x in itertools.product(["an", "ang"], repeat=8)} - {"an" * 8} | ({"k"} if suggest.SHORTEST <= 1 else set())
+    table = spark.createDataFrame([(c, c + str(k)) for c in "abcde" for k in range(2)], "char string, reading string")
+    pinyin, _ = correct.expand_words(spark.createDataFrame([("abcde", 3)], "word string, weight long"), table, spark.createDataFrame([(["x", "y"],)], "members array<string>"))
+    assert pinyin.count() == 2**5
