@@ -24,15 +24,15 @@ def refine(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     suffix order, and the group number of each.  A position's rank is the place
     in suffix order of the first of its group; a round sorts the positions of
     groups not yet single by their own rank and the rank further on.  ``text``
-    is read as if zeros followed it.
+    is read as if zeros followed it; it may hold bytes or codes of words.
     """
     n = len(text)
-    used = np.unique(text)
-    code = np.zeros(256, dtype=np.uint64)
-    code[used] = np.arange(len(used), dtype=np.uint64)
+    if n >= 1 << BITS:
+        raise ValueError(f"a shard of {n} units; at most {(1 << BITS) - 1} have a place in a sort key")
+    used, code = np.unique(text, return_inverse=True)
     width = max(1, int(len(used) - 1).bit_length())
     first = min(length, (2 * BITS) // width)
-    coded = np.concatenate([code[text], np.zeros(first, dtype=np.uint64)])
+    coded = np.concatenate([code.astype(np.uint64), np.zeros(first, dtype=np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
     for k in range(first):
         key = (key << np.uint64(width)) | coded[k : k + n]
@@ -101,15 +101,16 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -
     return at_place[a]
 
 
-def repeated(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which strings of ``length`` bytes inside ``texts`` occur at more than one place in them.
+def repeated(texts: list[bytes], length: int, unit: str = "u1") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which strings of ``length`` units inside ``texts`` occur at more than one place in them.
 
     Returns starts[i], the place of text i in the joined text, then the joined
     places p of the repeated strings and for each the group of equal strings.
+    All places count units of the type ``unit``.
     """
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    text = np.frombuffer(b"".join(texts), dtype=unit)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64) // text.itemsize
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    text = np.frombuffer(b"".join(texts), dtype=np.uint8)
     place, group = refine(text, length)
     owner = np.searchsorted(starts, place, side="right") - 1
     whole = place + length <= starts[owner + 1]

@@ -1,13 +1,16 @@
 """Suffix-array dedup: which bytes lie in a long string that also starts elsewhere.
 
 1. *Cut.*  Every start of a string of ``length`` bytes belongs to the anchor that
-   the string itself names: of its 32-byte grams the one with the least hash.  Equal
+   the string itself names: of its 64-byte grams the one with the least hash.  Equal
    strings name the same gram at the same place, so a string whose anchor occurs
    once in the corpus cannot repeat.  Starts of one anchor are neighbours and form
    a *context*: the bytes from its first start to the end of its last string.
-2. *Collapse.*  Equal contexts become one with a number of copies, before the
-   shuffle; contexts of anchors that occur once are dropped as proven unique.
-3. *Shards.*  The contexts of an anchor go to one shard of bounded size, which
+2. *Collapse.*  Contexts of anchors that occur once are dropped as proven unique.
+   Equal contexts become one with a number of copies, before the shuffle.  A string
+   reaches beyond its anchor by half of the rest on one side at least, so a context
+   that shares neither that much to the left nor to the right with another one is
+   done: its strings repeat if it has copies.
+3. *Shards.*  The other contexts of an anchor go to one shard of bounded size, which
    builds a suffix array by Larsson-Sadakane refinement and takes the common
    prefixes of neighbours by Kasai's step: starts whose string has an equal in
    the shard, or whose context has copies, repeat.
@@ -17,58 +20,68 @@
 5. *Back.*  Repeated starts go to all places of their contexts, and each text
    gets its maximal removed runs.
 
+The same five steps find passages of so many *words* (runs of anything but ASCII
+white space): a word is then one unit of 32 bits, a hash of its bytes, and a text
+the array of its words, a sixth as long.
+
 Null is an empty text.  Texts are whole; copies of a text, repeated rows too, are
-other places of its strings.
+other places of its strings.  Ties in id or text make no difference, an empty
+table gives no rows, and other columns may have any names: rows are carried as
+one struct, so none of them meets a column made here.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, table, tasks_for, utf8
+from .common import Staged, slices, table, tasks_for, utf8
 from .suffix_array import MOST, repeated
 
-LENGTH, GRAM = 400, 32
-#: Words of the shortest passage that repeats, for callers that count words; and bytes that stand for a word.
-PASSAGE, CODE = 51, 4
-#: Starts of a long text that are cut together; and context bytes of an anchor that one shard takes.
-SEGMENT, SPREAD = 400_000, 1 << 19
+LENGTH, GRAM = 400, 64
+#: Words of the shortest passage that repeats, for callers that count words; words of an anchor's gram.
+PASSAGE, WORDS = 51, 8
+#: Starts of a long text that are cut together; and context units of an anchor that one shard takes; bytes whose words are hashed together.
+SEGMENT, SPREAD, PIECE = 400_000, 1 << 19, 1 << 20
 
-_WORD = re.compile(r"\S+")
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = _rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 20) - 1)
 
-_CUT = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.binary()), ("at", pa.int32()), ("len", pa.int32())])
-_FOUND = pa.schema([("digest", pa.binary()), ("spans", pa.binary()), ("anchor", pa.int64()), ("bucket", pa.int32()), ("strings", pa.binary())])
-FOUND = "digest binary, spans binary, anchor long, bucket int, strings binary"
-_STRING = np.dtype([("string", "V16"), ("copies", "<i4"), ("digest", "V16"), ("at", "<i4")])
+_CUT = pa.schema([("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("len", pa.int32()), ("left", pa.int64()), ("right", pa.int64())])
+PLACES = "anchor long, d1 long, d2 long, doc_id long, k1 long, k2 long, at int, len int, left long, right long"
+_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("spans", pa.binary()), ("anchor", pa.int64()), ("bucket", pa.int32()), ("strings", pa.binary())])
+FOUND = "d1 long, d2 long, spans binary, anchor long, bucket int, strings binary"
+_STRING = np.dtype([("string", "V16"), ("copies", "<i4"), ("d1", "<i8"), ("d2", "<i8"), ("at", "<i4")])
 
 
 def _digest(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
+def gram_of(length: int, unit: int) -> int:
+    """Units of an anchor's gram: a power of two, at most a quarter of a string."""
+    return min(GRAM if unit == 1 else WORDS, 1 << max(0, length.bit_length() - 3))
+
+
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams, and for each start the place of its anchor."""
-    h, k = _TABLE[text], 1
-    for times in _TIMES[:5]:
+    """Hashes of all grams of the bytes or words, and for each start the place of its anchor."""
+    h, k = (_TABLE[text], 1) if text.itemsize == 1 else (_mixed(text.astype(np.uint64) * _TIMES[6]), 1)
+    gram = gram_of(length, text.itemsize)
+    for times in _TIMES[: gram.bit_length() - 1]:
         h = h[:-k] * times + h[k:]
         k *= 2
     h ^= h >> np.uint64(29)
     h *= _TIMES[5]
     h ^= h >> np.uint64(32)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    wide, k = length - GRAM + 1, 1
+    wide, k = length - gram + 1, 1
     while 2 * k <= wide:
         low = np.minimum(low[:-k], low[k:])
         k *= 2
@@ -77,27 +90,89 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return h, (low & _PLACE).astype(np.int64)
 
 
-def coded(body: bytes) -> bytes:
-    """CODE bytes for each word of a text, so that a string of words has a length in bytes."""
-    return b"".join(map(xxhash.xxh32_digest, _WORD.findall(body.decode())))
+def _beside(h: np.ndarray, first: np.ndarray, last: np.ndarray, own: np.ndarray, length: int, gram: int) -> list[np.ma.MaskedArray]:
+    """For each context a hash of its anchor and what half of a string holds on its left, and one for its right.
+
+    Masked where none of the context's strings reaches as far.
+    """
+    side = -(-(length - gram) // 2)
+    out = []
+    for sign, there in ((-1, own - first >= side), (1, last + length - own - gram >= side)):
+        at, x = own[there], None
+        for step in [*range(0, side, gram), side]:
+            x = h[at + sign * step] if x is None else x * _TIMES[6] + h[at + sign * step]
+        full = np.zeros(len(own), dtype=np.uint64)
+        full[there] = _mixed(x * _TIMES[3] + np.uint64(sign == 1))
+        out.append(np.ma.MaskedArray(full.view(np.int64), ~there))
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for times in _TIMES[:2]:
+        x ^= x >> np.uint64(31)
+        x *= times
+    return x ^ (x >> np.uint64(33))
+
+
+def word_places(body: bytes) -> np.ndarray:
+    """Pairs (from, to) of the bytes of each word."""
+    space = np.ones(len(body) + 2, dtype=bool)
+    space[1:-1] = _SPACE[np.frombuffer(body, dtype=np.uint8)]
+    return np.flatnonzero(space[1:] != space[:-1]).reshape(-1, 2)
+
+
+def word_codes(body: bytes) -> np.ndarray:
+    """A 32-bit hash of each word, from sums of the bytes' numbers times powers."""
+    found, at = [], 0
+    while at < len(body):
+        end = at + PIECE
+        if end < len(body):  # a piece ends before white space, or where its last word does
+            text = np.frombuffer(body, dtype=np.uint8)
+            back = np.flatnonzero(_SPACE[text[at:end]])
+            end = at + int(back[-1]) if len(back) else end
+            while end < len(body) and not _SPACE[body[end]]:
+                end += 1
+        piece = body[at:end]
+        places = word_places(piece)
+        if len(piece) > len(_POWER):
+            power, back = _powers(len(piece))
+        else:
+            power, back = _POWER, _BACK
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_TABLE[np.frombuffer(piece, dtype=np.uint8)] * power[: len(piece)], out=sums[1:])
+        code = (sums[places[:, 1]] - sums[places[:, 0]]) * back[places[:, 0]]
+        found.append((_mixed(code) >> np.uint64(32)).astype("<u4"))
+        at = end + 1 if end == at else end
+    return np.concatenate(found) if found else np.zeros(0, "<u4")
 
 
-def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bodies = pa.array([coded(x) for x in batch.column("body").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bodies, batch.column("text_key")], names=["doc_id", "body", "text_key"])
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 to the 64."""
+    odd = int(_TIMES[7])
+    out = []
+    for x in (odd, pow(odd, -1, 1 << 64)):
+        factors = np.full(n, x, dtype=np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors))
+    return out[0], out[1]
+
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_POWER, _BACK = _powers(PIECE)
+
+
+def _cutter(length: int, words: bool = False):
+    units = word_codes if words else lambda x: np.frombuffer(x, dtype=np.uint8)
 
-def _cutter(length: int, code: bool = False):
     def segments(bodies):
-        """(row, first start, bytes) with at most SEGMENT starts each."""
+        """(row, first start, units) with at most SEGMENT starts each."""
         for i, body in enumerate(bodies):
             for at in range(0, len(body) - length + 1, SEGMENT):
                 yield i, at, body[at : at + SEGMENT + length - 1]
 
     def cut(group):
-        joined = b"".join(x for _, _, x in group)
-        h, own = anchors(np.frombuffer(joined, dtype=np.uint8), length)
+        joined = np.concatenate([x for _, _, x in group])
+        h, own = anchors(joined, length)
         segment = np.full(len(own), -1, dtype=np.int64)
         begin = 0
         begins = []
@@ -111,24 +186,28 @@ def _cutter(length: int, code: bool = False):
         keep = segment[first] >= 0
         first, last = first[keep], last[keep]
         of = segment[first]
-        digests = [_digest(joined[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
+        left, right = _beside(h, first, last, own[first], length, gram_of(length, joined.itemsize))
+        joined, unit = joined.tobytes(), joined.itemsize
+        digests = [_digest(joined[a:b]) for a, b in zip((first * unit).tolist(), ((last + length) * unit).tolist())]
         at = first - np.array(begins)[of] + np.array([a for _, a, _ in group])[of]
         row = np.array([i for i, _, _ in group])[of]
-        return h[own[first]].view(np.int64), digests, row, at, last - first + length
+        digests = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        return h[own[first]].view(np.int64), digests, row, at, last - first + length, left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("text_key")
+        for batch in slices(batches):
+            keys = [batch.column(c) for c in ("doc_id", "k1", "k2")]
 
             def out(group):
-                anchor, digests, row, at, size = cut(group)
+                anchor, digests, row, at, size, left, right = cut(group)
                 row = pa.array(row)
-                columns = [pa.array(anchor), pa.array(digests, pa.binary()), ids.take(row), keys.take(row), pa.array(at, pa.int32()), pa.array(size, pa.int32())]
+                columns = [pa.array(anchor), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(k.take(row) for k in keys), pa.array(at, pa.int32()), pa.array(size, pa.int32())]
+                columns += [pa.array(x.data, mask=x.mask) for x in (left, right)]
                 return pa.RecordBatch.from_arrays(columns, schema=_CUT)
 
             group, size = [], 0
             bodies = batch.column("body").to_pylist()
-            for item in segments(map(coded, bodies) if code else bodies):
+            for item in segments(map(units, bodies)):
                 group.append(item)
                 size += len(item[2])
                 if size >= SEGMENT:
@@ -147,23 +226,24 @@ def _runs(starts: np.ndarray, length: int) -> bytes:
     return np.stack([starts[fresh], starts[ends] + length], axis=1).astype("<i4").tobytes()
 
 
-def _shard(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Rows of _FOUND for the contexts (anchor, parts, digest, copies, bytes) of one shard."""
-    texts = [r[4] for r in rows]
-    starts, place, group = repeated(texts, length)
+def _shard(rows: list[tuple], length: int, unit: int) -> Iterator[tuple]:
+    """Rows of _FOUND for the contexts (anchor, parts, d1, d2, copies, bytes) of one shard."""
+    texts = [r[5] for r in rows]
+    starts, place, group = repeated(texts, length, f"<u{unit}")
     hit = np.zeros(int(starts[-1]), dtype=bool)
     hit[place] = True
     for i, r in enumerate(rows):
-        if r[3] > 1:
+        if r[4] > 1:
             hit[starts[i] : starts[i + 1] - length + 1] = True
     for i, r in enumerate(rows):
         found = np.flatnonzero(hit[starts[i] : starts[i + 1]])
         if len(found):
-            yield r[2], _runs(found, length), None, None, None
+            yield r[2], r[3], _runs(found, length), None, None, None
     if rows[0][1] == 1:
         return
     # this anchor has contexts in other shards: one record for each distinct string here
     joined = b"".join(texts)
+    string = lambda p: _digest(joined[p * unit : (p + length) * unit])
     number = np.full(int(starts[-1]), -1, dtype=np.int64)
     number[place] = group
     records: dict[int, list] = {}
@@ -173,11 +253,11 @@ def _shard(rows: list[tuple], length: int) -> Iterator[tuple]:
         for p in range(base, int(starts[i + 1]) - length + 1):
             g = int(number[p])
             if g < 0:
-                lone.append((_digest(joined[p : p + length]), r[3], r[2], p - base))
+                lone.append((string(p), r[4], r[2], r[3], p - base))
             elif g in records:
-                records[g][1] += r[3]
+                records[g][1] += r[4]
             else:
-                records[g] = [_digest(joined[p : p + length]), r[3], r[2], p - base]
+                records[g] = [string(p), r[4], r[2], r[3], p - base]
     packed = np.array([tuple(x) for x in records.values()] + lone, dtype=_STRING)
     head = np.frombuffer(packed["string"].tobytes(), dtype=">u8")[::2]
     order = np.argsort(head, kind="stable")
@@ -187,7 +267,7 @@ def _shard(rows: list[tuple], length: int) -> Iterator[tuple]:
     cuts = [0, *np.searchsorted(head, borders).tolist(), len(head)]
     for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if a < b:
-            yield None, None, rows[0][0], bucket, packed[a:b].tobytes()
+            yield None, None, None, rows[0][0], bucket, packed[a:b].tobytes()
 
 
 def _found(rows: Iterator[tuple]) -> pa.RecordBatch | None:
@@ -197,17 +277,17 @@ def _found(rows: Iterator[tuple]) -> pa.RecordBatch | None:
     return None
 
 
-def _sharder(length: int):
+def _sharder(length: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen, now = [], 0, set(), None
         ready, ready_size = [], 0  # whole anchors that share a shard
 
         def flush(rows):
-            if rows and (out := _found(_shard(rows, length))) is not None:
+            if rows and (out := _found(_shard(rows, length, unit))) is not None:
                 yield out
 
         for batch in batches:
-            for anchor, part, parts, digest, copies, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for anchor, part, parts, d1, d2, copies, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if (anchor, part) != now:
                     if held and (held[0][1] > 1 or ready_size + size > MOST):
                         yield from flush(ready)
@@ -218,10 +298,10 @@ def _sharder(length: int):
                         yield from flush(ready)
                         ready, ready_size = [], 0
                     held, size, seen, now = [], 0, set(), (anchor, part)
-                if digest not in seen:
-                    seen.add(digest)
-                    held.append((anchor, parts, digest, copies, body))
-                    size += len(body)
+                if (d1, d2) not in seen:  # repeated rows send a context twice
+                    seen.add((d1, d2))
+                    held.append((anchor, parts, d1, d2, copies, body))
+                    size += len(body) // unit
         if held and (held[0][1] > 1 or ready_size + size > MOST):
             yield from flush(ready)
             ready = []
@@ -236,11 +316,11 @@ def _merger(length: int):
         _, which = np.unique(all_["string"].view("V16"), return_inverse=True)
         total = np.bincount(which, weights=all_["copies"])
         open_ = all_[(all_["copies"] == 1) & (total[which] > 1)]
-        by: dict[bytes, list[int]] = {}
-        for digest, at in zip(open_["digest"], open_["at"].tolist()):
-            by.setdefault(digest.tobytes(), []).append(at)
+        by: dict[tuple[int, int], list[int]] = {}
+        for d1, d2, at in zip(open_["d1"].tolist(), open_["d2"].tolist(), open_["at"].tolist()):
+            by.setdefault((d1, d2), []).append(at)
         for digest, ats in by.items():
-            yield digest, _runs(np.array(sorted(ats)), length), None, None, None
+            yield *digest, _runs(np.array(sorted(ats)), length), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -258,82 +338,109 @@ def _merger(length: int):
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text_key and its spans as lists of (at, spans), to maximal runs."""
+    """A text's keys and its spans as lists of (at, len, spans), to maximal runs; without spans all of a place repeats."""
     for batch in batches:
-        out = []
-        for places in batch.column("places").to_pylist():
-            pairs = np.concatenate([np.frombuffer(x["spans"], "<i4").reshape(-1, 2).astype(np.int64) + x["at"] for x in places])
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            reach = np.maximum.accumulate(pairs[:, 1])
-            fresh = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
-            ends = np.concatenate([fresh[1:], [len(pairs)]]) - 1
-            out.append(np.stack([pairs[fresh, 0], reach[ends]], axis=1).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(out, pa.binary())], names=["text_key", "removed"])
-
-
-def text_key(body):
-    return F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
-
-
-def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", code: bool = False) -> DataFrame:
-    """text_key, removed for the distinct texts with something to remove.
-
-    ``text_key`` is the start of the text's SHA-256; ``removed`` holds pairs of
+        lists = batch.column("places")
+        count = np.diff(lists.offsets.to_numpy())
+        at, size, spans = lists.flatten().flatten()
+        at, size = at.to_numpy().astype(np.int64), size.to_numpy().astype(np.int64)
+        base = np.repeat(np.arange(len(count), dtype=np.int64) << 40, count) + at
+        whole = spans.is_null().to_numpy(zero_copy_only=False)
+        parts = spans.drop_null().to_pylist()
+        number = np.array([len(x) // 8 for x in parts], dtype=np.int64)
+        inner = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2) + np.repeat(base[~whole], number)[:, None]
+        pairs = np.concatenate([np.stack([base, base + size], axis=1)[whole], inner])
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(pairs[:, 1])
+        fresh = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        ends = np.concatenate([fresh[1:], [len(pairs)]]) - 1 if len(pairs) else fresh
+        runs = np.stack([pairs[fresh, 0], reach[ends]], axis=1)
+        edges = np.searchsorted(runs[:, 0], np.arange(len(count) + 1, dtype=np.int64) << 40).tolist()
+        runs = (runs & ((1 << 40) - 1)).astype("<i8")
+        out = [runs[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, pa.binary())], names=["k1", "k2", "removed"])
+
+
+def text_keys(body) -> list:
+    """Two 64-bit hashes that stand for a text."""
+    return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit("again"), body).alias("k2")]
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
+    """k1, k2, removed for the distinct texts with something to remove.
+
+    ``k1`` and ``k2`` are the text's ``text_keys``; ``removed`` holds pairs of
     little-endian 64-bit integers (from, to), maximal and in order.  With
-    ``code`` lengths and pairs are those of the texts' coded words.
+    ``words`` the length and the pairs count words, otherwise bytes.
     """
     spark = docs.sparkSession
-    n = tasks_for(spark)
+    n, unit = tasks_for(spark), 4 if words else 1
     staged = Staged(spark, "suffix")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), text_key(utf8(text_col)).alias("text_key"))
-    # words of a byte each, with what is between them
-    long = rows.where(F.length("body") >= (2 * length // CODE - 1 if code else length))
-    places = staged(long.mapInArrow(_cutter(length, code), "anchor long, digest binary, doc_id long, text_key binary, at int, len int"), "places")
-
-    contexts = places.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "at", "len")).alias("rep"))
-    shared = contexts.groupBy("anchor").agg(F.sum("copies").alias("all"), F.sum("rep.len").alias("bytes")).where("all > 1")
-    contexts = contexts.join(shared, "anchor").withColumn("parts", F.ceil(F.col("bytes") / SPREAD).cast("int"))
-    contexts = contexts.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("digest"), F.col("parts"))).otherwise(0).cast("int"))
-    contexts = staged(contexts.select("anchor", "digest", F.least("copies", F.lit(2)).cast("int").alias("copies"), "rep", "parts", "part"), "contexts")
-
-    wanted = contexts.groupBy(F.col("rep.doc_id").alias("its"), F.col("rep.text_key").alias("key")).agg(
-        F.collect_list(F.struct("anchor", "part", "parts", "digest", "copies", F.col("rep.at").alias("at"), F.col("rep.len").alias("len"))).alias("list")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("text_key") == F.col("key"))
-    long = long.mapInArrow(_code, "doc_id long, body binary, text_key binary") if code else long
-    held = long.join(wanted.hint("shuffle_hash"), same)
-    cut = F.transform("list", lambda x: F.struct(x["anchor"], x["part"], x["parts"], x["digest"], x["copies"], F.substring(F.col("body"), x["at"] + 1, x["len"]).alias("bytes")))
-    names = ["anchor", "part", "parts", "digest", "copies", "bytes"]
-    cut = held.select(F.explode(cut).alias("x")).select("x.*").toDF(*names)
+    keys = ["k1", "k2"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"), *text_keys(utf8(text_col)))
+    # words have a byte at least, with one between them
+    long = rows.where(F.length("body") >= (2 * length - 1 if words else length))
+    places = staged(long.mapInArrow(_cutter(length, words), PLACES), "places")
+
+    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # an order of its own for equal contexts, by which one place of them is taken; the sum keeps Spark from dealing by anchor alone
+    near = places.join(twice.hint("shuffle_hash"), "anchor", "left_semi").withColumn("anchor", F.col("anchor") + F.lit(1))
+    near = staged(near.withColumn("place", F.monotonically_increasing_id()), "near")
+    first = lambda x: F.min_by(x, "place").alias(x)
+    contexts = near.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("copies"), *[first(x) for x in ("doc_id", *keys, "at", "len", "left", "right")])
+    contexts = staged(contexts.withColumn("copies", F.least("copies", F.lit(2)).cast("int")), "contexts")
+    # contexts that share a side with another one
+    sides = contexts.select("anchor", "d1", "d2", F.explode(F.array("left", "right")).alias("side")).where("side is not null")
+    both = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
+    open_ = sides.join(both.hint("shuffle_hash"), "side", "left_semi").select("anchor", "d1", "d2").distinct()
+    open_ = staged(contexts.join(open_, ["anchor", "d1", "d2"], "left_semi").drop("left", "right"), "open")
+    alike = contexts.join(open_.select("anchor", "d1", "d2"), ["anchor", "d1", "d2"], "left_anti").where("copies > 1").select("d1", "d2", F.lit(None).cast("binary").alias("spans"))
+    units = open_.groupBy("anchor").agg(F.sum("len").alias("units"))
+    dealt = open_.join(units, "anchor").withColumn("parts", F.ceil(F.col("units") / SPREAD).cast("int"))
+    dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.col("d1"), F.col("parts"))).otherwise(0).cast("int"))
+
+    item = F.struct("anchor", "part", "parts", "d1", "d2", "copies", "at", "len")
+    # with the id, so that copies of a text do not meet; a null id that meets another one's copy does no harm
+    its = F.coalesce("doc_id", F.lit(0)).alias("its")
+    wanted = dealt.groupBy(its, *keys).agg(F.collect_list(item).alias("list"))
+    held = long.select(its, "body", *keys).join(wanted.hint("shuffle_hash"), ["its", *keys]).select("body", "list")
+    if words:
+        cut = held.mapInArrow(_cut_words, "anchor long, part int, parts int, d1 long, d2 long, copies int, bytes binary")
+    else:
+        cut = F.transform("list", lambda x: F.struct(*[x[c] for c in ("anchor", "part", "parts", "d1", "d2", "copies")], F.substring(F.col("body"), x["at"] + 1, x["len"]).alias("bytes")))
+        cut = held.select(F.explode(cut).alias("x")).select("x.*").toDF("anchor", "part", "parts", "d1", "d2", "copies", "bytes")
     dealt = cut.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
-    found = staged(dealt.mapInArrow(_sharder(length), FOUND), "found")
+    found = staged(dealt.mapInArrow(_sharder(length, unit), FOUND), "found")
     strings = found.where("strings is not null").select("anchor", "bucket", "strings")
     strings = strings.repartition(n, "anchor", "bucket").sortWithinPartitions("anchor", "bucket")
-    spans = found.where("digest is not null").select("digest", "spans").unionByName(strings.mapInArrow(_merger(length), FOUND).select("digest", "spans"))
-    hits = places.select("digest", "text_key", "at").join(spans, "digest").groupBy("text_key").agg(F.collect_set(F.struct("at", "spans")).alias("places"))
-    removed = staged(hits.mapInArrow(_union, "text_key binary, removed binary"), "removed")
-    staged.done("places", "contexts", "found")
+    spans = found.where("spans is not null").unionByName(strings.mapInArrow(_merger(length), FOUND)).select("d1", "d2", "spans").unionByName(alike)
+    hits = near.select("d1", "d2", *keys, "at", "len").join(spans, ["d1", "d2"]).groupBy(*keys).agg(F.collect_set(F.struct("at", "len", "spans")).alias("places"))
+    removed = staged(hits.mapInArrow(_union, "k1 long, k2 long, removed binary"), "removed")
+    staged.done("places", "near", "contexts", "open", "found")
     return removed
 
 
-def passage_spans(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text_key, removed (pairs in the coded text) of passages of so many words that also start elsewhere."""
-    return repeat_spans(docs, words * CODE, id_col, text_col, code=True)
+def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["anchor", "part", "parts", "d1", "d2", "copies"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    for batch in slices(batches):
+        for body, wanted in zip(batch.column("body").to_pylist(), batch.column("list").to_pylist()):
+            codes = word_codes(body)
+            columns = [pa.array([x[k] for x in wanted], t) for k, t in zip(names, types)]
+            texts = pa.array([codes[x["at"] : x["at"] + x["len"]].tobytes() for x in wanted], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, texts], names=[*names, "bytes"])
 
 
-def passage_pairs(text: str, coded: bytes) -> np.ndarray:
-    """The bytes (from, to) of the text that pairs of its coded words cover."""
-    pairs = np.frombuffer(coded, "<i8").reshape(-1, 2)
-    spans = np.array([m.span() for m in _WORD.finditer(text)])
-    first, last = -(-pairs[:, 0] // CODE), pairs[:, 1] // CODE - 1
-    found = np.stack([spans[first, 0], spans[last, 1]], axis=1)
-    if text.isascii():
-        return found
-    point = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    return np.concatenate([[0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF).astype(np.int64))])[found]
+def passage_pairs(body: bytes, removed: bytes | None) -> np.ndarray:
+    """The bytes (from, to) of the text that pairs of its words cover."""
+    pairs = np.frombuffer(removed or b"", "<i8").reshape(-1, 2)
+    if not len(pairs):
+        return pairs
+    places = word_places(body)
+    return np.stack([places[pairs[:, 0], 0], places[pairs[:, 1] - 1, 1]], axis=1)
 
 
-def either(a: np.ndarray, b: np.ndarray) -> bytes:
+def either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs that cover what one or the other covers, maximal and in order."""
     out: list[list[int]] = []
     for x, y in sorted([*a.tolist(), *b.tolist()]):
@@ -341,72 +448,86 @@ def either(a: np.ndarray, b: np.ndarray) -> bytes:
             out[-1][1] = max(y, out[-1][1])
         else:
             out.append([x, y])
-    return np.array(out, dtype="<i8").tobytes()
+    return np.array(out, dtype="<i8").reshape(-1, 2)
+
 
+def with_removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """row, removed, passages: each row of ``docs`` as a struct, with the pairs of ``repeat_spans`` in bytes and, with ``words``, in words.
 
-def with_removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``_removed``, null where nothing is to be removed."""
-    spans = repeat_spans(docs, length, id_col, text_col).withColumnsRenamed({"text_key": "_its", "removed": "_removed"})
-    rows = docs.withColumn("_key", text_key(utf8(text_col)))
-    return rows.join(spans.hint("shuffle_hash"), F.col("_key") == F.col("_its"), "left").drop("_key", "_its")
+    Both are null where there is nothing to remove.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *text_keys(utf8(text_col)))
+    spans = repeat_spans(docs, length, id_col, text_col)
+    if words:
+        more = repeat_spans(docs, words, id_col, text_col, words=True).withColumnRenamed("removed", "passages")
+        spans = spans.join(more, ["k1", "k2"], "full")
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast("binary"))
+    return rows.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "removed", "passages")
 
 
-def cut_out(body: bytes, removed: bytes | None) -> tuple[bytes, np.ndarray]:
-    """What is left of the text, and the pairs (from, to)."""
-    pairs = np.frombuffer(removed or b"", "<i8").reshape(-1, 2)
+def pairs_of(removed: bytes | None) -> np.ndarray:
+    return np.frombuffer(removed or b"", "<i8").reshape(-1, 2)
+
+
+def cut_out(body: bytes, pairs: np.ndarray) -> bytes:
+    """What is left of the text without the bytes of the pairs (from, to)."""
     if not len(pairs):
-        return body, pairs
+        return body
     edges = [0, *pairs.reshape(-1).tolist(), len(body)]
-    return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])), pairs
+    return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", words: int | None = None) -> DataFrame:
-    """The rows of ``docs`` with repeated bytes cut from their texts, and ``chars_col`` counted anew.
+    """The rows of ``docs`` with repeated bytes cut from their texts, and ``chars_col`` counted anew where it is there.
 
     A character of which a cut leaves only some bytes goes as a whole.  Null texts stay null.  With
-    ``words``, passages of that many words go too, however few bytes they have.
+    ``words``, passages of that many words go too, however few bytes they have.  All rows and columns
+    stay, whatever the columns are called; repeated rows are cut alike; an empty table stays empty.
     """
-    schema, docs_columns = docs.schema, docs.columns
+    schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = batch.column(text_col).to_pylist(), batch.column("_removed").to_pylist()
-            if words:
-                coded = batch.column("_passages").to_pylist()
-                removed = [either(np.frombuffer(r or b"", "<i8").reshape(-1, 2), passage_pairs(x, c)) if c else r for x, r, c in zip(texts, removed, coded)]
-            kept = [None if x is None else cut_out(x.encode(), r)[0].decode("utf-8", "ignore") if r else x for x, r in zip(texts, removed)]
-            columns = []
-            for name, column in zip(docs_columns, batch.columns):
-                if name == text_col:
-                    column = pa.array(kept, column.type)
-                elif name == chars_col:
-                    column = pa.array([n if r is None or k is None else len(k) for n, k, r in zip(column.to_pylist(), kept, removed)], column.type)
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
-
-    rows = with_removed(docs, length, id_col, text_col)
-    if words:
-        spans = passage_spans(docs, words, id_col, text_col).withColumnsRenamed({"text_key": "_its", "removed": "_passages"})
-        rows = rows.withColumn("_key", text_key(utf8(text_col)))
-        rows = rows.join(spans.hint("shuffle_hash"), F.col("_key") == F.col("_its"), "left")
-    return rows.select(*docs_columns, "_removed", *["_passages"] * bool(words)).mapInArrow(run, schema)
+        for batch in slices(batches):
+            columns = dict(zip(names, batch.column("row").flatten()))
+            kept, cut = [], []
+            for x, removed, passages in zip(columns[text_col].to_pylist(), batch.column("removed").to_pylist(), batch.column("passages").to_pylist()):
+                cut.append(removed is not None or passages is not None)
+                if cut[-1]:
+                    body = x.encode()
+                    pairs = pairs_of(removed)
+                    x = cut_out(body, either(pairs, passage_pairs(body, passages)) if passages else pairs).decode("utf-8", "ignore")
+                kept.append(x)
+            columns[text_col] = pa.array(kept, columns[text_col].type)
+            if chars_col in columns:
+                old = columns[chars_col]
+                columns[chars_col] = pa.array([len(k) if c else n for n, k, c in zip(old.to_pylist(), kept, cut)], old.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return with_removed(docs, length, id_col, text_col, words).mapInArrow(run, schema)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_OUT = pa.schema([(x, pa.int64()) for x in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("n_passage_bytes", pa.int64())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
+        ids, texts = batch.column("row").flatten()
         rows = []
-        for body, removed in zip(batch.column("body").to_pylist(), batch.column("_removed").to_pylist()):
-            kept, pairs = cut_out(body, removed)
-            rows.append((len(body), len(body) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest()))
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(_OUT)[1:]))], schema=_OUT)
+        for text, removed, passages in zip(texts.to_pylist(), batch.column("removed").to_pylist(), batch.column("passages").to_pylist()):
+            body, pairs = (text or "").encode(), pairs_of(removed)
+            kept, found = cut_out(body, pairs), passage_pairs(body, passages)
+            rows.append((len(body), len(body) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest(), len(found), int((found[:, 1] - found[:, 0]).sum())))
+        columns = list(zip(*rows)) or [[]] * (len(_OUT) - 1)
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, list(_OUT)[1:]))], schema=_OUT)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for all of ``documents``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for all of ``documents``, by strings of 400 bytes.
+
+    n_passages and n_passage_bytes report the passages of 51 words or more that also start elsewhere,
+    which may be shorter than 400 bytes; they have no part in what is removed.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_removed(docs).select("doc_id", utf8().alias("body"), "_removed")
-    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
+    return with_removed(docs, words=PASSAGE).mapInArrow(_digests, out)

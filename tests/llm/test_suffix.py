@@ -51,8 +51,9 @@ def test_spans_against_brute_force(corpus, make, spread, monkeypatch):
     held = suffix_dedup.with_removed(docs).collect()
     got = []
     for r in held:
-        kept, pairs = suffix_dedup.cut_out((r.text or "").encode(), r._removed)
-        got.append((r.doc_id, (len((r.text or "").encode()), len((r.text or "").encode()) - len(kept), len(pairs), kept)))
+        body, pairs = (r.row.text or "").encode(), suffix_dedup.pairs_of(r.removed)
+        kept = suffix_dedup.cut_out(body, pairs)
+        got.append((r.row.doc_id, (len(body), len(body) - len(kept), len(pairs), kept)))
     assert sorted(got, key=str) == sorted(zip([r[0] for r in rows], slow([r[1] for r in rows], 400)), key=str)
 
 
@@ -64,6 +65,36 @@ def test_texts_are_cut_and_columns_stay(corpus, make):
     assert suffix_dedup.remove_repeats(make([])).count() == 0
 
 
+def test_any_column_names(make):
+    """Columns called like those that the operator makes."""
+    names = ["row", "text_key", "removed", "passages", "anchor", "digest", "list", "body", "_removed", "_key", "_its", "at"]
+    docs = make([(1, "ab" * 300), (2, "ab" * 300), (2, "ab" * 300), (3, None)])
+    wide = docs.selectExpr("*", *[f"'{x}' as {x}" for x in names])
+    out = suffix_dedup.remove_repeats(wide, words=51)
+    assert out.columns == wide.columns
+    assert sorted(((r.doc_id, r.text, r.n_chars, r.removed, r.at) for r in out.collect()), key=str) == [(1, "", 0, "removed", "at"), (2, "", 0, "removed", "at"), (2, "", 0, "removed", "at"), (3, None, 0, "removed", "at")]
+    assert suffix_dedup.remove_repeats(wide.limit(0), words=51).count() == 0
+
+
+def test_a_shard_that_is_too_large_is_an_error():
+    with pytest.raises(ValueError, match="shard"):
+        suffix_array.repeated([bytes(1 << suffix_array.BITS)], 400)
+
+
+def test_words_and_their_codes(monkeypatch):
+    rng = random.Random(3)
+    body = "".join(rng.choices("abé \n\t\x1c", k=3000)).encode()
+    assert [body[a:b] for a, b in suffix_dedup.word_places(body)] == body.split()
+    whole = suffix_dedup.word_codes(body)
+    by = defaultdict(set)
+    for word, code in zip(body.split(), whole.tolist(), strict=True):
+        by[word].add(code)
+    assert all(len(x) == 1 for x in by.values()) and len(set().union(*by.values())) == len(by)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 7)
+    assert suffix_dedup.word_codes(body).tolist() == whole.tolist()
+    assert len(suffix_dedup.word_codes(b"")) == 0 and len(suffix_dedup.word_places(b"  ")) == 0
+
+
 def slow_passages(texts, words, length):
     """Texts without strings of so many bytes or passages of so many words that occur twice."""
     bodies, split = [t.encode() for t in texts], [list(re.finditer(r"\S+", t)) for t in texts]
