@@ -153,16 +153,26 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, c
 
 
 def repeat_rows(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows without words, which no target counts, once."""
+    """The rows of ``docs``, each as often as the mix takes it; rows without words, which no target counts, once.
+
+    Columns may have any names: rows are carried as one struct.  Rows equal in id,
+    source and text have equal copies, except where a source's sample ends among
+    them; only such a group is numbered, so repeated rows do not meet in a task.
+    An empty table gives an empty one.
+    """
     mixed = mix(docs, seed, weights, cap, id_col, text_col, source_col)
-    own = [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_digest")]
-    order = lambda x, *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(x))
-    taken = mixed.withColumn("n", order(F.desc("copies"), "doc_id", "source", "digest"))
-    taken = taken.select("doc_id", F.col("source").alias("its"), "digest", "n", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies")).where("copies > 0")
-    taken = taken.toDF("i", "s", "d", "n", "copies")
-    rows = docs.select("*", *own).withColumn("_n", order(F.lit(0), "_id", "_source", "_digest"))
-    same = F.col("_id").eqNullSafe(F.col("i")) & F.col("_source").eqNullSafe(F.col("s")) & (F.col("_digest") == F.col("d")) & (F.col("_n") == F.col("n"))
-    return rows.join(taken, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
+    keyed = lambda i, s: [F.coalesce(i, F.lit(0)).alias("i"), i.isNull().alias("no_i"), F.coalesce(s, F.lit("")).alias("s"), s.isNull().alias("no_s")]
+    keys = ["i", "no_i", "s", "no_s", "digest"]
+    taken = mixed.select(*keyed(F.col("doc_id"), F.col("source")), "digest", copies.alias("copies"))
+    taken = taken.groupBy(*keys).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count("*").alias("rows")).where("most > 0")
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *keyed(F.col(id_col).cast("long"), F.col(source_col).cast("string")), digest).join(taken, keys)
+    even = rows.where("least = most").select("row", F.col("least").alias("copies"))
+    border = rows.where("least < most").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    border = border.select("row", (F.col("least") + (F.col("n") <= F.col("all") - F.col("least") * F.col("rows")).cast("long")).alias("copies"))
+    out = even.unionByName(border).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n")).select("row.*")
 
 
 def op7_pareto_mix(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,18 @@ def test_targets_fill_up(spark, sizes):
     assert {r.source: pytest.approx(r.target) for r in out} == want
 
 
+def test_repeated_rows_are_told_apart_where_the_sample_ends(make, words):
+    text = words(40, 8)
+    docs = make([(1, text, "a")] * 90 + [(2, words(50, 9), "b")] * 30 + [(None, words(10, 7), None)] * 7)
+    want = {}
+    for r in pareto_mix.mix(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    got = {}
+    for r in pareto_mix.repeat_rows(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_mix(spark, make, words):
     rows = [(i, words(20 + i % 60, i), f"s{i % 4}") for i in range(800)] + [(900, None, None), (901, "", "s1"), (902, words(30, 9), None), (3, words(23, 3), "s3")]
     docs = make(rows)
@@ -42,4 +54,7 @@ def test_mix(spark, make, words):
     repeated = pareto_mix.repeat_rows(docs)
     assert repeated.columns == docs.columns
     assert repeated.count() == sum(r.copies for r in out if r.size) + sum(1 for r in out if not r.size)
+    wide = docs.selectExpr("*", *[f"'{x}' as {x}" for x in ("row", "i", "no_i", "s", "no_s", "digest", "copies", "n", "least", "most", "rows", "_id", "_digest")])
+    assert pareto_mix.repeat_rows(wide).columns == wide.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in pareto_mix.repeat_rows(wide).collect()) == sorted((str(r.doc_id), r.text or "") for r in repeated.collect())
     assert pareto_mix.mix(make([])).count() == 0 and pareto_mix.repeat_rows(make([])).count() == 0
