@@ -1,22 +1,33 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained.  The ordinary one comes from windows of
-ordinary text.  The toxic one holds, before the same content, the segments of
-toxic text that ordinary text does not have and that toxic texts have in many
-different surroundings.  Each window of a whole text is compressed with both;
-what the toxic dictionary saves over the other is the window's distance, and the
-largest of them is the text's.  Since the dictionaries differ in nothing else
-(filler takes the segments' place in the ordinary one, and tables are large
-enough to find every match), a window without such segments has distance 0.  The
-threshold is calibrated on labelled rows that the dictionaries have not seen.
+Two zstandard dictionaries are trained, one on windows of toxic texts, the other on
+windows of ordinary texts.  Each is a large *base*, trained on windows of ordinary
+texts and the same for both, with a *side* in front of it:
+
+* the ordinary side is trained on those windows of ordinary texts that so far look
+  most toxic, so that what they have in common speaks for neither class;
+* a text's label does not say which of its windows are toxic, so the toxic side is
+  trained in rounds, on the windows of toxic texts that the dictionaries of the
+  round before tell apart most, and then on narrower windows inside these.
+
+Each window of a whole text is compressed with both dictionaries.  The bytes that the
+toxic one saves, summed over the windows where it saves most, are the text's
+distance.  The base has seen so much that ordinary windows come out equally long;
+the threshold is calibrated on labelled rows that no dictionary has seen.
+
+Null and empty texts have one empty window and are scored like any other; equal texts
+score alike, whatever their ids.  A very long text is scored in all its windows.
+Without toxic or without ordinary rows to learn from there is no model: a warning
+says so and every text scores 0.  Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -24,146 +35,123 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table, utf8
+from .common import fold, slices, table, utf8
 
-#: Bytes of a window, and from one window's start to the next.
-WINDOW, STEP = 64, 48
-#: Length of the segments' grams, of the surrounding that tells two uses apart, and bytes of the two dictionaries' parts.
-GRAM, BESIDE, ORDINARY, SEGMENTS = 5, 8, 8192, 8192
+#: Bytes of a window, and from one window's start to the next; windows whose distances add up.
+WINDOW, STEP, BEST = 64, 48, 3
+#: Widths and steps of the windows that the toxic side is trained on, one after the other; rounds of that; windows of a text that a side is trained on.
+NARROWER, ROUNDS, PICKED = ((24, 6),), 3, 12
+#: Bytes of the base and of each side; lengths of their segments and of the strings counted in them.
+BASE, SIDE, BASE_SEGMENT, BASE_STRING, SEGMENT, STRING = 4_000_000, 24_576, 64, 8, 16, 6
 #: Bounds of the labelled sample that the model is fitted on: rows of each label, and bytes of each label's texts; and the pieces that stand for a text too long for that.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES, PIECE = 6_000, 9_000, 24_000_000, 512
-#: Windows that the ordinary dictionary is trained on.
-TRAINED = 40_000
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES, PIECE = 6_000, 9_000, 12_000_000, 512
 #: In calibration, what the share of clean texts rejected weighs against the share of toxic texts caught.
 CLEAN_WEIGHT = 3
-_PARAMETERS = {"window_log": 18, "hash_log": 18, "chain_log": 17, "search_log": 8, "min_match": GRAM, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
+#: The compressor's table sizes and effort; by zstandard's own names.
+_PARAMETERS = {"window_log": 23, "hash_log": 21, "chain_log": 21, "search_log": 5, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
 
 
-def windows(text: bytes) -> list[memoryview]:
+def windows(text: bytes, width: int = WINDOW, step: int = STEP) -> list[bytes]:
     """Windows that cover the whole text; an empty text has one, empty."""
-    view = memoryview(text)
-    return [view[i : i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STEP), STEP)]
+    return [text[i : i + width] for i in range(0, max(1, len(text) - width + step), step)]
 
 
-def _grams(text: bytes) -> np.ndarray:
-    a = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    n = max(0, len(a) - GRAM + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(GRAM):
-        out = (out << np.uint64(8)) | a[i : i + n]
-    return out
-
-
-def _known(texts: list[bytes]) -> np.ndarray:
-    """All grams of the texts, sorted."""
-    found, held, size = [], [], 0
-    for text in texts:
-        held.append(_grams(text))
-        size += len(held[-1])
-        if size > 2_000_000:
-            found.append(np.unique(np.concatenate(held)))
-            held, size = [], 0
-    return np.unique(np.concatenate([*found, *held, np.zeros(0, dtype=np.uint64)]))
-
-
-def _is_in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), dtype=bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
-
-
-def _segments(toxic: list[bytes], known: np.ndarray) -> bytes:
-    """Toxic text's own segments, the most frequent last."""
-    uses = []
-    for text in toxic:
-        grams = _grams(text)
-        new = np.flatnonzero(~_is_in(grams, known))
-        # copies of a text repeat its surroundings as well, and count once
-        beside = [hash(text[max(0, i - BESIDE) : i]) & 0x7FFFFFFF for i in new.tolist()]
-        uses.append(np.stack([grams[new], np.array(beside, dtype=np.uint64)], axis=1) if len(new) else np.zeros((0, 2), np.uint64))
-    if not uses:
-        return b""
-    grams, count = np.unique(np.unique(np.concatenate(uses), axis=0)[:, 0], return_counts=True)
-    chosen = grams[count >= max(3, round(0.004 * len(toxic)))]
-    segments: Counter[bytes] = Counter()
-    for text in toxic:
-        hit = np.concatenate([[0], _is_in(_grams(text), chosen).astype(np.int8), [0]])
-        for a, b in np.flatnonzero(np.diff(hit)).reshape(-1, 2).tolist():
-            segments[text[a : b + GRAM - 1]] += 1
-    held, size = [], 0
-    for segment, _ in sorted(segments.items(), key=lambda x: (-x[1], x[0])):
-        size += len(segment) + 1
-        if size > SEGMENTS:
-            break
-        held.append(segment)
-    return b"\0".join(reversed(held))
-
-
-def _ordinary(texts: list[bytes]) -> bytes:
-    counts = np.array([len(range(0, max(1, len(t) - WINDOW + STEP), STEP)) for t in texts], dtype=np.int64)
-    ends = np.cumsum(counts)
-    total = int(counts.sum())
-    # evenly from all windows of all texts
-    chosen = np.unique(np.linspace(0, total - 1, min(TRAINED, -(-total // 5))).astype(np.int64)) if total else np.zeros(0, np.int64)
-    of = np.searchsorted(ends, chosen, side="right")
-    samples = [texts[i][k * STEP : k * STEP + WINDOW] for i, k in zip(of.tolist(), (chosen - (ends - counts)[of]).tolist())]
+def trained(samples: list[bytes], size: int, segment: int, string: int) -> bytes:
+    """A zstandard dictionary trained on the samples; samples too few to train on are the dictionary, as far as SIDE."""
+    samples = [x for x in samples if len(x) >= 8]
+    # the trainer takes segments from one stretch of samples after the other, so no stretch may be one text's
+    samples = [samples[i] for i in np.random.default_rng(7).permutation(len(samples)).tolist()]
     try:
-        return zstandard.train_dictionary(ORDINARY, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too few samples to train on
-        return b"".join(samples)[-ORDINARY:]
+        return zstandard.train_dictionary(size, samples, k=segment, d=string).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-SIDE:]
 
 
 @dataclass
 class Model:
-    """The dictionaries' contents and the calibrated threshold of the distance."""
+    """The two sides, the base that both dictionaries share, and the calibrated threshold of the distance."""
 
     toxic: bytes
     ordinary: bytes
-    threshold: float = 1.5
+    base: bytes
+    threshold: float = 0.5
+    fitted: bool = True
     _pair: tuple | None = None
 
     def __getstate__(self):
-        return self.toxic, self.ordinary, self.threshold
+        return self.toxic, self.ordinary, self.base, self.threshold, self.fitted
 
     def __setstate__(self, state):
-        self.toxic, self.ordinary, self.threshold = state
+        self.toxic, self.ordinary, self.base, self.threshold, self.fitted = state
         self._pair = None
 
-    def distance(self, text: bytes) -> int:
-        """Most bytes that the toxic dictionary saves on a window; never negative."""
+    def compressors(self) -> tuple:
         if self._pair is None:
             settings = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, **_PARAMETERS)
             made = []
-            for content in (self.toxic, self.ordinary):
-                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            for side in (self.toxic, self.ordinary):
+                held = zstandard.ZstdCompressionDict(side + self.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=settings)
                 made.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=held).compress)
             self._pair = tuple(made)
-        toxic, ordinary = self._pair
-        return max(0, max(len(ordinary(w)) - len(toxic(w)) for w in windows(text)))
+        return self._pair
+
+    def saved(self, pieces: list[bytes]) -> list[int]:
+        """Bytes that the toxic dictionary saves on each piece; negative where the ordinary one is better."""
+        toxic, ordinary = self.compressors()
+        return [len(ordinary(x)) - len(toxic(x)) for x in pieces]
+
+    def distance(self, text: bytes) -> int:
+        """What the toxic dictionary saves on the windows where it saves most; never negative."""
+        return sum(x for x in nlargest(BEST, self.saved(windows(text))) if x > 0)
 
     def score(self, text: bytes) -> float:
         """0 to 1, 0.5 at the threshold."""
-        if self.toxic == self.ordinary:
+        if not self.fitted:
             return 0.0
         return 1 / (1 + math.exp(min(50.0, self.threshold - self.distance(text))))
 
 
+def _telling(model: Model, pools: Iterable[list[bytes]]) -> list[list[bytes]]:
+    """Of each text's windows those, at most PICKED, that the toxic dictionary saves most on."""
+    out = []
+    for pool in pools:
+        ranked = nlargest(PICKED, zip(model.saved(pool), range(len(pool))), key=lambda x: (x[0], -x[1]))
+        out.append([pool[i] for saved, i in ranked if saved > 0])
+    return out
+
+
+def _flat(pools: Iterable[list[bytes]]) -> list[bytes]:
+    return [x for pool in pools for x in pool]
+
+
 def fit(rows: list[tuple[bytes, int, bool]]) -> Model:
-    """A model from (text, label, calibrate) rows; with no toxic segment it scores 0 everywhere."""
+    """A model from (text, label, calibrate) rows."""
     toxic = [t for t, y, later in rows if y and not later]
     clean = [t for t, y, later in rows if not y and not later]
-    segments = _segments(toxic, _known(clean))
-    shared = b"\0" + _ordinary(clean)
-    if not segments:
-        return Model(shared, shared)
-    filler = np.random.default_rng(7).integers(245, 256, len(segments), dtype=np.uint8).tobytes()
-    model = Model(segments + shared, filler + shared)
+    if not toxic or not clean:
+        warnings.warn("no toxic or no ordinary texts to learn from: every text scores 0", stacklevel=2)
+        return Model(b"", b"", b"", fitted=False)
+    base = trained(_flat(windows(t, step=WINDOW) for t in clean), BASE, BASE_SEGMENT, BASE_STRING)
+    # texts that stand for the ordinary class in the sides, about as many as there are toxic ones
+    others = clean[:: max(1, len(clean) // len(toxic))]
+    side = lambda pools, size=SIDE: trained(_flat(pools), size, SEGMENT, STRING)
+    model = Model(side(map(windows, toxic), 4 * SIDE), side(map(windows, others), 4 * SIDE), base)
+    for _ in range(ROUNDS):
+        chosen, against = _telling(model, map(windows, toxic)), _telling(model, map(windows, others))
+        model = Model(side(chosen) or model.toxic, side(against) or model.ordinary, base)
+        for width, step in NARROWER:
+            chosen = _telling(model, ([y for x in pool for y in windows(x, width, step)] for pool in chosen))
+            if not any(chosen):
+                break
+            model = Model(side(chosen), model.ordinary, base)
     later = [(model.distance(t), y) for t, y, later in rows if later]
     x, y = np.array([d for d, _ in later]), np.array([bool(v) for _, v in later])
     if len(x) and y.any() and not y.all():
-        gain = [((x[y] > k).mean() - CLEAN_WEIGHT * (x[~y] > k).mean(), k) for k in range(12)]
-        model.threshold = max(gain)[1] + 0.5
+        gain = np.array([(x[y] > k).mean() - CLEAN_WEIGHT * (x[~y] > k).mean() for k in range(40)])
+        # the middle of the first thresholds that do equally well
+        best = int(gain.argmax())
+        model.threshold = best + (int((np.append(gain, -1)[best:] != gain[best]).argmax()) - 1) // 2 + 0.5
     return model
 
 
@@ -207,8 +195,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int
             yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), *batch.columns[1:]], names=batch.schema.names)
 
     kept = held.select("body", F.col("toxic").cast("int").alias("toxic"), (fold() == 4).alias("later"), "place")
-    rows = kept.mapInArrow(thin, "body binary, toxic int, later boolean, place long").collect()
-    return [(bytes(r.body), r.toxic, r.later) for r in sorted(rows, key=lambda r: (r.place, bytes(r.body)))]
+    rows = kept.mapInArrow(thin, "body binary, toxic int, later boolean, place long").toArrow()
+    found = sorted(zip(*(rows.column(c).to_pylist() for c in ("place", "body", "toxic", "later"))))
+    return [x[1:] for x in found]
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +207,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(x) for x in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
@@ -233,7 +222,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs``, as they are, whose text the model does not take for toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text_col).to_pylist()
             keep = [model.score((x or "").encode()) < 0.5 for x in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))

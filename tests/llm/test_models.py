@@ -95,7 +95,8 @@ def test_toxicity_over_tables(spark, make, words):
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     kept = toxicity.keep_clean(docs, model)
     assert kept.schema == docs.schema and kept.count() == sum(1 - r.predicted for r in out)
-    nothing = toxicity.fit([])
+    with pytest.warns(UserWarning):
+        nothing = toxicity.fit([])
     assert nothing.score(b"blarghful") == 0
     assert toxicity.score_texts(make([]), nothing).count() == 0
 
@@ -119,10 +120,41 @@ def test_long_labelled_texts_leave_the_others_in_the_sample(spark, make, words,
     assert np.mean([model.score(t) >= 0.5 for t, y in held if not y]) < 0.05
 
 
-def test_ordinary_windows_come_from_all_texts(monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 64))
-    texts = [b"%06d " % i * 40 for i in range(6000)]
-    toxicity._ordinary(texts)
-    assert len(seen) <= 40_000
-    assert {int(m) for w in seen for m in w.split()[1:2]} > set(range(5990, 6000))
+def test_scores_against_plain_compression(words):
+    """Distances from frames that zstandard makes without prepared tables, window by window."""
+    rows = [(t.encode(), y, i % 5 == 4) for i, t, y in _labelled(words, 200) if i % 5]
+    model = toxicity.fit(rows)
+    assert model.toxic and model.ordinary and model.base and model.toxic != model.ordinary
+
+    def slow(text):
+        sizes = []
+        for at in range(0, max(1, len(text) - 64 + 48), 48):
+            window = text[at : at + 64]
+            both = []
+            for side in (model.ordinary, model.toxic):
+                settings = toxicity.zstandard.ZstdCompressionParameters(format=1, write_content_size=0, write_checksum=0, write_dict_id=0, **toxicity._PARAMETERS)
+                held = toxicity.zstandard.ZstdCompressionDict(side + model.base, dict_type=toxicity.zstandard.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(compression_params=settings)
+                both.append(len(toxicity.zstandard.ZstdCompressor(compression_params=settings, dict_data=held).compress(window)))
+            sizes.append(both[0] - both[1])
+        far = sum(sorted((x for x in sizes if x > 0), reverse=True)[:3])
+        return 1 / (1 + math.exp(model.threshold - far))
+
+    texts = [t for t, _, _ in rows[:25]] + [b"", b"x", rows[3][0] * 3]
+    assert [model.score(t) for t in texts] == pytest.approx([slow(t) for t in texts])
+
+
+def test_dictionaries_come_from_windows_of_their_own_class(words):
+    rows = [(t.encode(), y, i % 5 == 4) for i, t, y in _labelled(words) if i % 5]
+    model = toxicity.fit(rows)
+    assert any(x in model.toxic for x in (b"blargh", b"vexxon", b"grumbl"))
+    assert not any(x in model.ordinary + model.base for x in (b"blargh", b"vexxon", b"grumbl"))
+    again = toxicity.fit(rows)
+    assert (again.toxic, again.ordinary, again.base, again.threshold) == (model.toxic, model.ordinary, model.base, model.threshold)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_without_one_class_there_is_a_warning_and_no_score(label):
+    with pytest.warns(UserWarning, match="learn from"):
+        model = toxicity.fit([(b"some text of one class", label, False)] * 5)
+    assert model.score(b"some text") == 0.0
