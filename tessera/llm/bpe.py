@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import MEMORIES, slices, table
 from .token_frames import _MARKS, _groups, chunks
 
 #: Bytes up to which a node of the tree is merged directly; and entries that each memory holds before it starts anew.
@@ -174,6 +174,7 @@ class TextEncoder:
 
 
 _encoders: dict[tuple[str, str], TextEncoder] = {}
+MEMORIES["bpe"] = _encoders.clear
 
 
 def encoder_for(path: str, pattern: str) -> TextEncoder:
@@ -195,7 +196,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches, own="bpe"):
             packed = encoder.ids([x or "" for x in batch.column("text").to_pylist()])
             decoded = [encoder.decode(x) for x in packed]
             columns = [

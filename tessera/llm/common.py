@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_root: dict[str, str] = {}
 
 
@@ -54,15 +58,42 @@ class Staged:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.paths = spark, tag, {}
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+    def __call__(self, df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+        """Write ``df`` and read it again; ``rows`` go to Python in one batch, fewer where a row is large."""
         path = new_folder(self.spark, f"{self.tag}-{name}")
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(rows))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def done(self, *names: str) -> None:
+        """Remove these tables, and let Spark's cleaner take the shuffle files that only their making needed."""
         for name in names:
             remove(self.spark, self.paths.pop(name))
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+#: What a worker process remembers from task to task, by operator: how to forget it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, own: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds Python objects of few texts at a time.
+
+    Workers serve one operator after the other: what others than ``own`` remember goes.
+    """
+    for name, forget in MEMORIES.items():
+        if name != own:
+            forget()
+    pa.default_memory_pool().release_unused()
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ Large-star and small-star rounds (Kiveris et al., 2014).  A star's centre may
 have any number of neighbours: a round takes minima with partial aggregates and
 joins them back, and gathers no neighbour list.  Before the rounds each task
 contracts its own edges in blocks of fixed size, which keeps every component
-and leaves at most one edge a node and block.
+and leaves at most one edge a node and block.  Where no more edges are left than
+a block holds, one task contracts them all and no round is needed.
 """
 
 from __future__ import annotations
@@ -68,6 +69,10 @@ def components(edges: DataFrame, staged: Staged) -> DataFrame:
     """
     links = edges.where("src <> dst").select("src", "dst").mapInArrow(_contract, SCHEMA)
     links = staged(links, "links0")
+    if links.count() <= BLOCK:
+        whole = staged(links.coalesce(1).mapInArrow(_contract, SCHEMA), "links")
+        staged.done("links0")
+        return _named(whole)
     seen, k = None, 0
     while True:
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
@@ -86,5 +91,10 @@ def components(edges: DataFrame, staged: Staged) -> DataFrame:
         links_new = staged(small.where("src <> dst").distinct(), f"links{k}")
         staged.done(f"large{k}", f"links{k - 1}")
         links = links_new
+    return _named(links)
+
+
+def _named(links: DataFrame) -> DataFrame:
+    """Nodes with their roots, and the roots with themselves."""
     roots = links.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return links.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(roots)

@@ -41,8 +41,8 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def _bits(hashes: list[int]) -> np.ndarray:
-    return np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _bits(hashes) -> np.ndarray:
+    return np.unpackbits(np.asarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def _majority(lists: list[list[int]]) -> np.ndarray:
@@ -53,28 +53,40 @@ def _majority(lists: list[list[int]]) -> np.ndarray:
         counts = sum(_bits(flat[k : k + _SLICE]).sum(axis=0, dtype=np.int64) for k in range(0, len(flat), _SLICE))[None, :]
     else:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        counts = np.add.reduceat(_bits([h for x in lists for h in x]), starts, axis=0, dtype=np.int32)
+        counts = np.add.reduceat(_bits(np.concatenate([np.asarray(x, dtype="<u8") for x in lists])), starts, axis=0, dtype=np.int32)
     ones = (counts * 2 > sizes[:, None]).astype(np.uint8)
     return np.packbits(ones, axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """Signed 64-bit fingerprints; 0 for a text without words."""
-    out = np.zeros(len(texts), dtype=np.int64)
-    held: list[tuple[int, list[int]]] = []
+def majority(lists: list) -> np.ndarray:
+    """Signed 64-bit fingerprints of sequences of hashes; 0 for an empty one."""
+    out = np.zeros(len(lists), dtype=np.int64)
+    held: list[int] = []
     size = 0
-    for i, text in enumerate(texts):
-        if hashes := shingle_hashes(text):
+    for i, hashes in enumerate(lists):
+        if len(hashes):
             if size and size + len(hashes) > _SLICE:
-                out[[k for k, _ in held]] = _majority([x for _, x in held])
+                out[held] = _majority([lists[k] for k in held])
                 held, size = [], 0
-            held.append((i, hashes))
+            held.append(i)
             size += len(hashes)
     if held:
-        out[[k for k, _ in held]] = _majority([x for _, x in held])
+        out[held] = _majority([lists[k] for k in held])
     return out
 
 
+def fingerprints(texts: list[bytes]) -> np.ndarray:
+    """Signed 64-bit fingerprints; 0 for a text without words."""
+    out, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        held.append(shingle_hashes(text))
+        size += len(held[-1])
+        if size > _SLICE or i + 1 == len(texts):
+            out.append(majority(held))
+            held, size = [], 0
+    return np.concatenate([np.zeros(0, dtype=np.int64), *out])
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = fingerprints(batch.column("body").to_pylist())
@@ -207,17 +219,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     """The rows of ``docs``, one for each component: the smallest id, among equal ids the smallest digest of the text.
 
     Of rows equal in both only one stays.  A component of null ids keeps one too.
-    ``found_by`` gives the components.
+    Columns may have any names: rows are carried as one struct.  An empty table
+    gives an empty one.  ``found_by`` gives the components.
     """
     digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     spark = docs.sparkSession
     found = found_by(docs, id_col, text_col, digest)
     # among rows of a component that share its smallest id, and so its null if it has no other
     first = found.groupBy("component_id", "group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("x"))
-    chosen = Staged(spark, "simhash")(first.select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_own")).distinct(), "chosen")
-    rows = docs.withColumn("_digest", digest).withColumn("_key", F.col(id_col).cast("long"))
-    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_own"))
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    keyed = lambda i, d: [F.coalesce(i, F.lit(0)).alias("i"), i.isNull().alias("none"), d.alias("digest")]
+    keys = ["i", "none", "digest"]
+    chosen = Staged(spark, "simhash")(first.select(*keyed(F.col("x.doc_id"), F.col("x.digest"))).distinct(), "chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *keyed(F.col(id_col).cast("long"), digest))
+    return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

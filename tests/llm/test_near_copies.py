@@ -71,3 +71,21 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, make, words):
     assert kept == sorted({low for _, low in slow_components(rows)})
     assert len(kept) < simhash.keep_one(make(rows)).count()
     assert corpus_pipeline.drop_near_copies(spark, make([]), "").count() == 0
+
+
+def test_copies_of_one_text_that_are_not_alike_among_themselves(make, words, monkeypatch):
+    """Each is similar enough to the original only; the number of pairs that are compared stays small."""
+    rng = random.Random(6)
+    base = words(300, 77).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        near = list(base)
+        for at in rng.sample(range(0, 300, 6), 5):
+            near[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near)))
+    seen = []
+    check = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, *rest: seen.append(pairs.count()) or check(pairs, *rest))
+    found = near_copies.near_components(make(rows)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=str) == slow_components(rows)
+    assert max(seen) <= 16 * len(rows)

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 import xxhash
 
-from tessera.llm import simhash
+from tessera.llm import components, simhash
 from tessera.llm.common import Staged
 
 
@@ -54,11 +55,28 @@ def test_trie_finds_every_link(spark, monkeypatch):
     assert [found.get(v, v) for v in signed] == want
 
 
+@pytest.mark.parametrize("block", [5, 200_000])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(100 + i, 101 + i) for i in range(25)] + [(200, 201 + i) for i in range(25)]
+    out = components.components(spark.createDataFrame(edges, "src long, dst long").repartition(4), Staged(spark, "test")).collect()
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.component for r in out} == root and len(out) == len(root)
+
+
 def test_one_of_each_component_stays(corpus, make):
     kept = simhash.keep_one(corpus)
     assert kept.columns == corpus.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     want = sorted({x for x in (r.component_id for r in simhash.simhash_components(corpus).collect())}, key=str)
     assert ids == want
+    wide = corpus.selectExpr("*", *[f"'{x}' as {x}" for x in ("row", "i", "none", "digest", "_id", "_key", "_own", "_digest", "doc")])
+    kept = simhash.keep_one(wide)
+    assert kept.columns == wide.columns and sorted((r.doc_id for r in kept.collect()), key=str) == ids
     assert simhash.keep_one(make([])).count() == 0
     assert simhash.keep_one(make([(None, "a b c d"), (None, "a b c d"), (None, "e f g h i j")])).count() == 2
