@@ -14,7 +14,9 @@ sets are one class beforehand.
    as similar as that has a common shingle in both its prefixes, the first fifth
    of each set in one order of all shingles.  Classes that share shingles there
    and are not joined yet are compared, unless their sizes, the number of the
-   shared shingles and the places of the last of them rule them out.  A first look
+   shared shingles and the places of the last of them rule them out, or bitmaps
+   of the sets, in which each shingle turns one bit: sets differ in at least as
+   many shingles as their bitmaps in bits.  A first look
    compares 16 bits of each shingle, which only ever makes sets more alike, and
    what passes is compared in full.  The order puts common shingles, as a sample
    of the classes has them, last; any order finds all pairs.
@@ -40,7 +42,10 @@ KEYS, MINIMA = 8, 3
 #: Common shingles are those of at least so many texts of one in SAMPLE; so many of them go last.
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 100_000
 _TIMES = np.random.default_rng(11).integers(0, 1 << 63, KEYS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROWS = "doc_id long, digest long, own long, node long, fp long, keys array<bigint>"
+#: Longs of a set's bitmap.
+BITMAP = 8
+_BITS = [f"b{k}" for k in range(BITMAP)]
+_ROWS = "doc_id long, digest long, own long, node long, fp long, keys array<bigint>, " + ", ".join(f"{b} long" for b in _BITS)
 _PAIR = "src long, dst long, at_src long, at_dst long, n long, n_src long, n_dst long"
 
 
@@ -63,12 +68,20 @@ def _keys(x: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low)], dtype=np.uint64).view(np.int64).tolist()
 
 
+def _bitmap(x: np.ndarray) -> np.ndarray:
+    """One bit for each value of the hashes' upper bits, set if an odd number of shingles have it."""
+    odd = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = [_set(x) for x in batch.column("body").to_pylist()]
         made = {"node": (map(_node, sets), pa.int64()), "fp": (majority(sets), pa.int64()), "keys": (map(_keys, sets), pa.list_(pa.int64()))}
         columns = [batch.column(c) for c in ("doc_id", "digest", "own")] + [pa.array(list(v), t) for v, t in made.values()]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "own", *made])
+        bits = np.stack([_bitmap(x) for x in sets])
+        columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(BITMAP)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "own", *made, *_BITS])
 
 
 def _sets(kind: str):
@@ -159,9 +172,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _same_nodes(groups: Iterator[list[np.ndarray]]) -> Iterator[tuple]:
-    """Consecutive tokens of the same nodes as one: node, size, last place, component, number of the tokens."""
+    """Consecutive tokens of the same nodes as one: node, size, last place, component, number of the tokens, bitmap."""
     now: list | None = None
-    for _, node, n, at, component in groups:
+    for _, node, n, at, component, *bits in groups:
         order = np.argsort(node)
         node, at = node[order], at[order]
         if now is not None and np.array_equal(node, now[0]):
@@ -169,7 +182,7 @@ def _same_nodes(groups: Iterator[list[np.ndarray]]) -> Iterator[tuple]:
             continue
         if now is not None:
             yield tuple(now)
-        now = [node, n[order], at, component[order], 1]
+        now = [node, n[order], at, component[order], 1, np.stack(bits, axis=1)[order]]
     if now is not None:
         yield tuple(now)
 
@@ -187,16 +200,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [np.maximum.reduceat(x[order], first) for x in (at_src, at_dst)]
         return _batch({"src": src[first], "dst": dst[first], "at_src": last[0], "at_dst": last[1], "n": np.add.reduceat(number[order], first), "n_src": n_src[order][first], "n_dst": n_dst[order][first]})
 
-    for node, n, at, component, shared in _same_nodes(_groups(batches)):
+    for node, n, at, component, shared, bits in _same_nodes(_groups(batches)):
         if (component == component[0]).all():
             continue
         order = np.lexsort((node, n))
-        node, n, at, component = node[order], n[order], at[order], component[order]
+        node, n, at, component, bits = node[order], n[order], at[order], component[order], bits[order]
         ends = np.searchsorted(n, n * WHOLE // PART, side="right")
         for i, end in enumerate(ends.tolist()):
             j = np.arange(i + 1, end)
             most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
             j = j[(component[j] != component[i]) & (most * (PART + WHOLE) >= PART * (n[i] + n[j]))]
+            unlike = np.bitwise_count((bits[j] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            j = j[unlike * (PART + WHOLE) <= (WHOLE - PART) * (n[i] + n[j])]
             if len(j):
                 same = np.ones(len(j), dtype=np.int64)
                 held.append(np.stack([same * node[i], node[j], same * at[i], at[j], same * n[i], n[j], same * shared]))
@@ -295,7 +310,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = texts.select("body").mapInArrow(_prefixes(_common(texts)), "token long, node long, size long, at long")
     tokens = tokens.repartition(n, "token").sortWithinPartitions("token")
     shared = staged(tokens.mapInArrow(_shared, "token long, node long, size long, at long, mark long"), "shared")
-    shared = shared.join(joined, "node", "left").select("token", "node", "size", "at", F.coalesce("component", "node").alias("component"), "mark")
+    nodes = rows.select("node", *_BITS).dropDuplicates(["node"]).join(joined, "node", "left")
+    nodes = nodes.select("node", F.coalesce("component", "node").alias("component"), *_BITS)
+    shared = shared.join(nodes, "node").select("token", "node", "size", "at", "component", *_BITS, "mark")
     # tokens of the same nodes meet, in up to four tasks if they are many
     shared = shared.repartition(n, "mark", F.pmod("token", F.lit(4))).sortWithinPartitions("mark", "token")
     pairs = shared.drop("mark").mapInArrow(_pairs, _PAIR)
