@@ -382,9 +382,10 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     long = rows.where(F.length("body") >= (2 * length - 1 if words else length))
     places = staged(long.mapInArrow(_cutter(length, words), PLACES), "places")
 
-    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # an order of its own for equal contexts, by which one place of them is taken; the sum keeps Spark from dealing by anchor alone
-    near = places.join(twice.hint("shuffle_hash"), "anchor", "left_semi").withColumn("anchor", F.col("anchor") + F.lit(1))
+    # with another key than the counts were dealt by, both sides of the join are dealt anew, so that Spark can split the rows of a frequent anchor
+    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").bitwiseXOR(F.lit(1)).alias("anchor"))
+    near = places.withColumn("anchor", F.col("anchor").bitwiseXOR(F.lit(1))).join(twice.hint("shuffle_hash"), "anchor", "left_semi")
+    # an order of its own for equal contexts, by which one place of them is taken
     near = staged(near.withColumn("place", F.monotonically_increasing_id()), "near")
     first = lambda x: F.min_by(x, "place").alias(x)
     contexts = near.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("copies"), *[first(x) for x in ("doc_id", *keys, "at", "len", "left", "right")])
