@@ -35,11 +35,13 @@ def segments(text: str, tokens: set[str]) -> list[tuple[str, int]]:
 def highlight(text: str, tokens: set[str], window: int = WINDOW) -> str:
     """Marked text; of a long one the window of segments with the largest sum of cubed token lengths.
 
-    The first window is the shortest prefix wide enough, and it is shown with
+    Without tokens the text is returned whole.  The first window is the shortest prefix wide enough, and it is shown with
     one segment more than it was weighed by.  A later one must be wide enough
     and weigh strictly more.
     """
-    tokens = {t.lower() for t in tokens}
+    tokens = {t.lower() for t in tokens if t}
+    if not tokens:
+        return text
     parts = segments(text, tokens)
     shown = lambda ps: "".join(f"{OPEN}{s}{CLOSE}" if n else s for s, n in ps)
     if len(text) <= window:

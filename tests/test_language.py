@@ -65,6 +65,7 @@ def test_highlight():
     out = highlight.highlight(body, {"乐山大佛", "创"})
     assert out.startswith("...") and out.endswith("...") and '<span class="keyword">乐山大佛</span>' in out
     assert highlight.highlight("x" * 100, {"y"}).endswith("...")
+    assert highlight.highlight("x" * 120, set()) == "x" * 120
 
 
 @given(st.text("ab ", max_size=56))
