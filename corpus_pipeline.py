@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: Trained models, fingerprints and byte-pair merges are beyond SQL; tests compare the near-copy and suffix operators with brute force, not run() as a whole.
+#: Trained models, fingerprints and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py compares run() with brute force.
 ORACLE_SQL = None
 
 
