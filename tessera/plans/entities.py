@@ -58,13 +58,41 @@ def parent_names(rows: DataFrame, key: str, ids: str, categories: DataFrame) ->
     return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "up"))), lambda x: x["up"]).alias("first_category"))
 
 
+#: So many tokens of queries at most are looked for inside the texts; where there are more, a join finds them.
+FEW_TOKENS = 1000
+
+
 def hits_per_query(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """query_id, hits: documents that have all of a query's tokens, for a table of queries (query_id, query)."""
-    asked = queries.select("query_id", F.array_distinct(latin_tokens(F.col("query"))).alias("t")).withColumn("n", F.size("t"))
-    post = docs.select(key, F.explode(F.array_distinct(latin_tokens(F.col(text)))).alias("token"))
-    met = asked.select("query_id", "n", F.explode("t").alias("token")).join(post, "token").groupBy("query_id", "n", key).agg(F.count("*").alias("k")).where("k = n")
-    found = met.groupBy("query_id").agg(F.count("*").alias("hits"))
-    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    """query_id, hits: documents that have all of a query's tokens, for a table of queries (query_id, query); rows of one key are one document.
+
+    Queries of the same tokens are looked up once, and documents that have the
+    same of the tokens asked for become one row with a count.  A query meets the
+    documents of its rarest token; the others are looked for in those.
+    """
+    # tokens that depend on a count: no filter on them moves below it, so all that follows shares one exchange
+    distinct = queries.where("query is not null").groupBy("query").agg(F.count("*").alias("n"))
+    asked = distinct.select("query", F.when(F.col("n") > 0, F.array_sort(F.array_distinct(latin_tokens(F.col("query"))))).alias("t"))
+    sets = asked.where("size(t) > 0").select("t").distinct()
+    each = sets.select("t", F.explode("t").alias("token"))
+    # one row; with more tokens than that the texts keep all of theirs
+    few = each.select("token").distinct().limit(FEW_TOKENS + 1).agg(F.collect_list("token").alias("few"))
+    texts = docs.select(F.col(key).alias("doc"), latin_tokens(F.col(text)).alias("has")).join(F.broadcast(few))
+    inside = texts.select("doc", F.explode(F.when(F.size("few") > FEW_TOKENS, F.array_distinct("has")).otherwise(F.array_intersect("has", "few"))).alias("token"))
+    alike = inside.groupBy("doc").agg(F.array_sort(F.collect_set("token")).alias("has")).groupBy("has").agg(F.count("*").alias("c"), F.min("doc").alias("doc"))
+    post = alike.select("doc", "c", F.explode("has").alias("token"))
+    df = post.groupBy("token").agg(F.sum("c").alias("df"))
+    known = each.join(df, "token").groupBy("t").agg(F.count("*").alias("n"), F.min(F.struct("df", "token")).alias("rare")).where("n = size(t)")
+    one = known.where("n = 1").select("t", F.col("rare.df").alias("hits"))
+    met = known.where("n > 1").select("t", "n", F.col("rare.token").alias("token")).join(post, "token")
+    rest = met.select("t", "n", "doc", "c", F.explode(F.array_remove("t", F.col("token"))).alias("token"))
+    there = post.select(F.col("doc").alias("_doc"), F.col("token").alias("_token"))
+    rest = rest.join(there, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("token") == F.col("_token")), "left_semi")
+    full = rest.groupBy("t", "n", "doc", "c").agg(F.count("*").alias("k")).where("k = n - 1")
+    found = one.unionByName(full.groupBy("t").agg(F.sum("c").alias("hits")))
+    hits = asked.join(found, "t").select("query", "hits")
+    # a query without an id has no hits, as in a join on it
+    own = F.when(F.col("query_id").isNotNull(), F.col("hits"))
+    return queries.select("query_id", "query").join(hits, "query", "left").select("query_id", F.coalesce(own, F.lit(0)).alias("hits"))
 
 
 def best_word(words: DataFrame, query: str, tokens: list[str], clauses: DataFrame) -> DataFrame:
