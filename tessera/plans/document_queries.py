@@ -304,7 +304,7 @@ def stream_parent_expand(spark, d):
 
     def build(stream, root):
         write = lambda ids, k: ids.write.mode("overwrite").parquet(f"{root}/out/batch={k}")
-        return incremental.rebuild_stream(incremental.parent_ids(stream, courses), write, f"{root}/state", available_now=True)
+        return incremental.rebuild_stream(stream, write, f"{root}/state", available_now=True, ids=lambda edits: incremental.parent_ids(edits, courses))
 
     return _streamed(spark, edits, "parents", build, "course_id string").select("course_id").distinct()
 

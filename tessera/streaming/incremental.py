@@ -39,15 +39,24 @@ def event_ids(events: DataFrame) -> DataFrame:
 
 
 def parent_ids(events: DataFrame, courses: DataFrame) -> DataFrame:
-    """course_id of the edited course and of all courses of its present and previous parent (courses: course_id, parent_id)."""
+    """course_id of the edited course and of all courses of its present and previous parent (courses: course_id, parent_id).
+
+    For the rows of one micro-batch: each parent is expanded once, however many edits name it.
+    """
     rows = events.where(F.col("course_id") != HEARTBEAT)
-    parents = rows.select(F.explode(F.array("parent_id_cur", "parent_id_pre")).alias("parent_id")).where("parent_id is not null and parent_id <> ''")
-    return rows.select("course_id").unionByName(parents.join(courses.select("course_id", "parent_id"), "parent_id").select("course_id"))
+    parents = rows.select(F.explode(F.array("parent_id_cur", "parent_id_pre")).alias("parent_id")).where("parent_id is not null and parent_id <> ''").distinct()
+    return rows.select("course_id").unionByName(courses.select("course_id", "parent_id").join(parents, "parent_id", "left_semi").select("course_id"))
+
+
+def rebuild_stream(events: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, seconds: int = 10, ids: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Every micro-batch's distinct ids to ``rebuild(ids, batch_id)``, which has to be idempotent.
 
+    ``ids`` makes course_id of a micro-batch's events; without it the events have it.
+    """
+    def each(df: DataFrame, k: int) -> None:
+        rebuild((ids(df) if ids else df).dropDuplicates(["course_id"]), k)
 
-def rebuild_stream(ids: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, seconds: int = 10) -> StreamingQuery:
-    """Every micro-batch's distinct ids to ``rebuild(ids, batch_id)``, which has to be idempotent."""
-    writer = ids.writeStream.foreachBatch(lambda df, k: rebuild(df.dropDuplicates(["course_id"]), k)).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

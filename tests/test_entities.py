@@ -6,6 +6,7 @@ import time
 import pytest
 
 from tessera.plans import entities
+from tessera.streaming import incremental
 
 DOCS, QUERIES = "doc_id long, text string", "query_id long, query string"
 
@@ -48,3 +49,26 @@ def test_equal_queries_are_looked_up_once(spark):
     time.sleep(1)
     assert got == sorted([(k, 2000) for k in range(2000)], key=str)
     assert written() - start < 1_000_000
+
+
+EDIT = incremental.EDIT_EVENT
+
+
+def test_a_parent_is_expanded_once(spark):
+    """300 edits of the same two parents name each of their courses once, not 300 times."""
+    courses = spark.createDataFrame([(f"c{k}", f"p{k % 3}") for k in range(300)] + [("none", None)], "course_id string, parent_id string")
+    edits = spark.createDataFrame([(f"e{k}", "p0", "p1" if k % 2 else "") for k in range(300)] + [("xxxx", "p2", "p2"), ("last", None, None)], EDIT)
+    got = [r.course_id for r in incremental.parent_ids(edits, courses).collect()]
+    assert sorted(got) == sorted([f"e{k}" for k in range(300)] + ["last"] + [f"c{k}" for k in range(300) if k % 3 < 2])
+
+
+def test_every_batch_expands_its_own_parents(spark, tmp_path):
+    """A parent that an earlier batch named is expanded again."""
+    courses = spark.createDataFrame([("c1", "p1"), ("c2", "p1"), ("c3", "p2")], "course_id string, parent_id string")
+    for k, row in enumerate([("e1", "p1", None), ("e2", "p1", "p2"), ("xxxx", None, None)]):
+        spark.createDataFrame([row], EDIT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = incremental.json_source(spark, str(tmp_path / "in"), EDIT, per_batch=1)
+    batches = []
+    write = lambda ids, k: batches.append(sorted(r.course_id for r in ids.collect()))
+    assert incremental.rebuild_stream(stream, write, str(tmp_path / "state"), available_now=True, ids=lambda df: incremental.parent_ids(df, courses)).awaitTermination(60)
+    assert sorted(batches) == [[], ["c1", "c2", "c3", "e2"], ["c1", "c2", "e1"]]
